@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, decontaminate, mixing, quality, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op5_relational_chat": chat.op5_relational_chat,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_feistel_shards": sharding.op9_feistel_shards,
+    "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality.OP1_SQL,
     "op5_relational_chat": chat.OP5_SQL,
+    "op10_spaced_seeds": decontaminate.OP10_SQL,
 }
