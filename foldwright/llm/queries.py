@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, sharding
+from . import chat, decontaminate, mixing, near_dedup, quality, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_bottomk_near_dedup": near_dedup.op4_bottomk_near_dedup,
     "op5_relational_chat": chat.op5_relational_chat,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_feistel_shards": sharding.op9_feistel_shards,
