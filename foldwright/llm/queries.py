@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dedup, quality, sharding
+from . import chat, decontaminate, mixing, near_dedup, quality, repeats, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_bottomk_near_dedup": near_dedup.op4_bottomk_near_dedup,
     "op5_relational_chat": chat.op5_relational_chat,
+    "op7_radix_repeats": repeats.op7_radix_repeats,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_feistel_shards": sharding.op9_feistel_shards,
     "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
