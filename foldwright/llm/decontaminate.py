@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table, text_of
+from .common import BROADCAST_ROWS, bind, fresh, keys_within, materialize, table, text_of
 
 #: Fixed masks over nine tokens: each ignores every third position, so a hit survives substitutions there; each
 #: position of a window is ignored by one of the masks.
@@ -15,6 +15,8 @@ SPAN = 9
 MIN_PERCENT = 80
 #: Rows of hashed benchmark windows that one pass broadcasts; a larger benchmark is joined in several passes.
 BLOCK_ROWS = 300_000
+#: Items whose tokens may be broadcast for the comparison.
+BROADCAST_ITEMS = 20_000
 
 
 def tokens(text: str | Column) -> Column:
@@ -23,16 +25,22 @@ def tokens(text: str | Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _masked(get, number: int, mask: str) -> Column:
-    return F.xxhash64(F.lit(number), *(get(i) for i, bit in enumerate(mask) if bit == "1"))
+def seeds(toks: Column) -> Column:
+    """Hashes of every window of SPAN tokens under every mask: place * len(MASKS) + mask is the index."""
 
+    def masked(a: Column, at: Column) -> Column:
+        picks = ([i for i, bit in enumerate(m) if bit == "1"] for m in MASKS)
+        return F.array(*(F.xxhash64(F.lit(k), *(F.get(a, at + i) for i in pick)) for k, pick in enumerate(picks)))
 
-def seeds(df: DataFrame, toks: str, at: str, value: str) -> DataFrame:
-    """One row a window of SPAN tokens and mask: its place, and the hash of the mask's number and the tokens not ignored."""
-    last = F.size(toks) - SPAN
-    df = df.withColumn(at, F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("CAST(array() AS array<int>)"))))
-    values = (_masked(lambda i: F.get(F.col(toks), F.col(at) + i), k, m) for k, m in enumerate(MASKS))
-    return df.withColumn(value, F.explode(F.array(*values)))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return bind(toks, lambda a: F.when(F.size(a) < SPAN, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - SPAN), lambda at: masked(a, at)))))
+
+
+def seed_rows(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(name, at, seed) of the texts; the tokens stay behind, as a copy of them in each row would grow with their square."""
+    n = len(MASKS)
+    rows = df.select(F.col(key).alias(name), F.posexplode(seeds(tokens(text))).alias("i", "seed"))
+    return rows.select(name, F.floor(F.col("i") / n).cast("int").alias(f"{name}_at"), "seed")
 
 
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
@@ -47,26 +55,29 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     Every window of SPAN tokens of the items is hashed under each mask and joined with every window of every document;
     each hit fixes an alignment, on which the whole item is compared token by token. Substitutions cost their tokens
     only. The benchmark is the query set: its windows are broadcast in blocks of BLOCK_ROWS rows at most, so documents
-    are neither shuffled nor grouped. Items of fewer than SPAN tokens, and null or empty texts, leak nowhere; repeated
-    rows of a document or item count as one; a null id is returned as null. No items or no documents: no rows.
+    are neither shuffled nor grouped; only documents with hits are read again. Items of fewer than SPAN tokens, and null or empty texts, leak nowhere; repeated
+    rows of a document or item count as one; rows with a null id are not reported. No items or no documents: no rows.
     """
-    items = items.select(F.col(item_id).alias("item_id"), tokens(item_text).alias("item")).where(F.size("item") >= SPAN)
-    items = materialize(seeds(items, "item", "item_at", "seed").distinct(), "seeds")
-    total = items.count()
-    blocks = -(-total // BLOCK_ROWS)
-    side = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("doc"))
-    rows = seeds(side, "doc", "doc_at", "doc_seed")
-    found = None
-    for k in range(max(blocks, 1)):
-        block = items if blocks <= 1 else items.where(F.pmod(F.hash("seed"), F.lit(blocks)) == k)
-        hits = rows.join(F.broadcast(block), F.col("doc_seed") == F.col("seed"))
-        shift = F.col("doc_at") - F.col("item_at")
-        hits = hits.select("doc_id", "item_id", F.size("item").alias("item_tokens"), shift.alias("shift"), overlap(F.col("doc"), F.col("item"), shift).alias("matched"))
-        hits = hits.where(F.col("matched") * 100 >= F.col("item_tokens") * min_percent)
-        found = hits if found is None else found.unionAll(hits)
-    best = F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_tokens")).alias("best")
-    best = found.groupBy("doc_id", "item_id").agg(best)
-    return best.select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.item_tokens").cast("long").alias("item_tokens"), (-F.col("best.back")).cast("long").alias("shift"))
+    windows = materialize(seed_rows(items, item_id, item_text, "item").distinct(), "seeds")
+    blocks = max(1, -(-windows.count() // BLOCK_ROWS))
+    rows = seed_rows(docs, doc_id, text, "doc")
+    hits = None
+    for k in range(blocks):
+        block = windows if blocks == 1 else windows.where(F.pmod(F.hash("seed"), F.lit(blocks)) == k)
+        found = rows.join(F.broadcast(block), "seed").select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+        hits = found if hits is None else hits.unionAll(found)
+    hits = materialize(hits.distinct(), "seed-hits")
+    side = keys_within(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), hits.select("doc").distinct(), "doc")
+    side = side.select("doc", tokens("text").alias("doc_tokens"))
+    items = items.select(F.col(item_id).alias("item"), tokens(item_text).alias("item_tokens"))
+    n_items = items.limit(BROADCAST_ITEMS + 1).count()
+    pairs = hits.join(F.broadcast(items) if n_items <= BROADCAST_ITEMS else items, "item").join(side, "doc")
+    pairs = pairs.select("doc", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift")).alias("matched"))
+    best = F.max(F.struct("matched", (-F.col("shift")).alias("back"), "n")).alias("best")
+    best = pairs.where(F.col("matched") * 100 >= F.col("n") * min_percent).groupBy("doc", "item").agg(best)
+    return best.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("best.matched").cast("long").alias("matched"), F.col("best.n").cast("long").alias("item_tokens"), (-F.col("best.back")).cast("long").alias("shift")
+    )
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +91,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     key = fresh(docs, "leak_id")[0]
     found = found.select(F.col("doc_id").alias(key))
-    small = found.limit(1_000_001).count() <= 1_000_000
-    return docs.join(F.broadcast(found) if small else found, docs["doc_id"].eqNullSafe(found[key]), "left_anti")
+    small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(found) if small else found, docs["doc_id"] == found[key], "left_anti")
 
 
 OP10_SQL = rf"""
