@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dedup, quality, repeats, sharding
+from . import chat, decontaminate, mixing, near_dedup, quality, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_bottomk_near_dedup": near_dedup.op4_bottomk_near_dedup,
     "op5_relational_chat": chat.op5_relational_chat,
+    "op6_subword_toxicity": toxicity.op6_subword_toxicity,
     "op7_radix_repeats": repeats.op7_radix_repeats,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_feistel_shards": sharding.op9_feistel_shards,
