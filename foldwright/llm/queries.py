@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dedup, quality, repeats, sharding, toxicity
+from . import chat, decontaminate, mixing, near_dedup, quality, repeats, revisits, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_revisit_asof": revisits.op2_revisit_asof,
     "op4_bottomk_near_dedup": near_dedup.op4_bottomk_near_dedup,
     "op5_relational_chat": chat.op5_relational_chat,
     "op6_subword_toxicity": toxicity.op6_subword_toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op2_revisit_asof": revisits.OP2_SQL,
     "op5_relational_chat": chat.OP5_SQL,
     "op10_spaced_seeds": decontaminate.OP10_SQL,
 }
