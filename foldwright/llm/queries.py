@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dedup, quality, repeats, revisits, sharding, toxicity
+from . import chat, decontaminate, mixing, near_dedup, passages, quality, repeats, revisits, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_revisit_asof": revisits.op2_revisit_asof,
+    "op3_compact_windows": passages.op3_compact_windows,
     "op4_bottomk_near_dedup": near_dedup.op4_bottomk_near_dedup,
     "op5_relational_chat": chat.op5_relational_chat,
     "op6_subword_toxicity": toxicity.op6_subword_toxicity,
