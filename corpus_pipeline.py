@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import mixing, sharding
+from foldwright.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from foldwright.llm.common import shared_dir
 
 STAGES = [
+    ("toxicity", toxicity.toxicity_stage),
+    ("near-dedup", near_dedup.near_dedup_stage),
+    ("decontamination", decontaminate.decontaminate_stage),
     ("mixing", mixing.mix_stage),
     ("sharding", sharding.shard_stage),
 ]
