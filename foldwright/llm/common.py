@@ -40,11 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path or "file:///tmp/checkpoints"
 
 
+#: Setting under which the shuffle files of a query go when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage by a table in the shared folder; a lost executor loses none of it."""
+    """Cut the lineage by a table in the shared folder; a lost executor loses none of it. Its shuffles are then removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldwright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
