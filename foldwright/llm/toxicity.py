@@ -25,6 +25,8 @@ MAX_ROWS = 12_000
 MAX_CHARS = 60_000_000
 #: Passes over the sample, and mini-batches of the fit at least.
 EPOCHS = 3
+#: Bytes of text whose subwords the fit holds at once, besides the finished bags.
+FIT_CHUNK = 1 << 19
 MIN_STEPS = 50
 #: Buckets of fewer rows of the sample than this take no part.
 MIN_ROWS = 3
@@ -96,23 +98,33 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bags of the texts in compressed rows: row offsets, buckets and their share of the row's subwords."""
-    ends, cols, shares = [0], [], []
-    for _, _, data, offsets in chunks(lowered(pa.array(texts, pa.string()))):
-        parts = list(subwords(data, offsets))
-        row, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bags of the texts in compressed rows: row offsets, buckets, their times (255 at most) and the subwords of each row;
+    and the rows that hold each bucket. ``texts`` is emptied, as the bags take its place in the driver's memory."""
+    column = lowered(pa.array(texts, pa.large_string()))
+    texts.clear()
+    ends, cols, counts, totals, rows = [np.zeros(1, np.int64)], [], [], [], np.zeros(1 << BUCKET_BITS, np.int64)
+    for _, _, data, offsets in chunks(column, FIT_CHUNK):
+        row, bucket = (np.concatenate(x) for x in zip(*subwords(data, offsets), strict=True))
         key, times = np.unique(row << BUCKET_BITS | bucket, return_counts=True)
         n = len(offsets) - 1
-        total = np.bincount(row, minlength=n)
+        totals.append(np.bincount(row, minlength=n))
         cols.append((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
-        shares.append((times / (total + PRIOR)[key >> BUCKET_BITS]).astype(np.float32))
-        ends.extend(ends[-1] + np.cumsum(np.bincount(key >> BUCKET_BITS, minlength=n)))
-    return np.array(ends), np.concatenate(cols) if cols else np.zeros(0, np.int32), np.concatenate(shares) if shares else np.zeros(0, np.float32)
+        rows += np.bincount(cols[-1], minlength=len(rows))
+        counts.append(np.minimum(times, 255).astype(np.uint8))
+        ends.append(ends[-1][-1] + np.cumsum(np.bincount(key >> BUCKET_BITS, minlength=n)))
+    if not cols:
+        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.int64), rows
+    every = np.concatenate(cols)
+    cols.clear()
+    return np.concatenate(ends), every, np.concatenate(counts), np.concatenate(totals), rows
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
-    """Embeddings, weights and bias together, by Adam on mini-batches of the softmax loss. Without a sample, all scores are low."""
+    """Embeddings, weights and bias together, by Adam on mini-batches of the softmax loss. Without a sample, all scores are low.
+
+    ``texts`` is emptied, to spare the driver's memory.
+    """
     rng = np.random.RandomState(seed)
     size = 1 << BUCKET_BITS
     params = {
@@ -122,20 +134,21 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     }
     share = np.clip(labels.mean() if len(texts) else 0.0, 1e-3, 1 - 1e-3)
     params["bias"][:] = np.log([1 - share, share])
-    ends, cols, shares = bags(texts)
-    often = np.bincount(cols, minlength=size) >= MIN_ROWS
-    shares = shares * often[cols]
+    n_texts = len(texts)
+    ends, cols, times, totals, rows = bags(texts)
+    often = (rows >= MIN_ROWS).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(v) for k, v in params.items()}
     order = np.zeros(0, np.int64)
-    steps = max(MIN_STEPS, EPOCHS * len(texts) // BATCH_ROWS) if len(texts) else 0
+    steps = max(MIN_STEPS, EPOCHS * n_texts // BATCH_ROWS) if n_texts else 0
     for step in range(1, steps + 1):
         if len(order) < BATCH_ROWS:
-            order = np.concatenate((order, rng.permutation(len(texts))))
+            order = np.concatenate((order, rng.permutation(n_texts)))
         rows, order = order[:BATCH_ROWS], order[BATCH_ROWS:]
         n = ends[rows + 1] - ends[rows]
         place = np.repeat(ends[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        owner, col, share = np.repeat(np.arange(len(rows)), n), cols[place], shares[place] * np.float32(SCALE)
+        owner, col = np.repeat(np.arange(len(rows)), n), cols[place]
+        share = times[place] * often[col] * (SCALE / (totals[rows] + PRIOR)).astype(np.float32)[owner]
         hidden = np.stack([np.bincount(owner, share * params["embedding"][col, k], len(rows)) for k in range(DIM)], 1)
         logits = hidden @ params["weights"] + params["bias"]
         prob = np.exp(logits - logits.max(1, keepdims=True))
@@ -156,7 +169,6 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     return Model(**params)
 
 
-
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], np.ndarray]:
     """The fitting sample: the first MAX_ROWS labelled keys by hash, cut where MAX_CHARS code points are reached.
 
@@ -167,7 +179,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(MAX_ROWS)
     found = docs.join(F.broadcast(chosen), F.col(key) == F.col("k"))
     sizes = sorted((r.h, r.k, r.n) for r in found.select(F.xxhash64("k").alias("h"), "k", F.char_length(text).alias("n")).collect())
-    total = np.cumsum([n or 0 for _, _, n in sizes])
+    total = np.cumsum([n or 0 for _, _, n in sizes], dtype=np.int64)
     keep = {k for (_, k, _), t in zip(sizes, total, strict=True) if t <= MAX_CHARS}
     rows = sorted((r.h, r.k, r.t or "", r.y) for r in found.select(F.xxhash64("k").alias("h"), "k", F.col(text).alias("t"), "y").collect() if r.k in keep)
     return [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
