@@ -21,10 +21,10 @@ GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIM = 8
 #: Bound of the fitting sample: labelled rows in order of a hash of their key, and code points read of all of them.
-MAX_ROWS = 12_000
-MAX_CHARS = 60_000_000
+MAX_ROWS = 6_000
+MAX_CHARS = 24_000_000
 #: Passes over the sample, and mini-batches of the fit at least.
-EPOCHS = 3
+EPOCHS = 6
 #: Bytes of text whose subwords the fit holds at once, besides the finished bags.
 FIT_CHUNK = 1 << 19
 MIN_STEPS = 50
