@@ -25,8 +25,8 @@ MAX_ROWS = 6_000
 MAX_CHARS = 24_000_000
 #: Passes over the sample, and mini-batches of the fit at least.
 EPOCHS = 6
-#: Bytes of text whose subwords the fit holds at once, besides the finished bags.
-FIT_CHUNK = 1 << 19
+#: Bytes of text whose subwords a fit or a scoring task holds at once (a longer text is taken whole).
+FIT_CHUNK = 1 << 18
 MIN_STEPS = 50
 #: Buckets of fewer rows of the sample than this take no part.
 MIN_ROWS = 3
@@ -188,7 +188,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
 def scores(texts: pa.Array, value: np.ndarray, margin: float) -> np.ndarray:
     """Scores of a batch of whole texts; a text without subwords has the score of the bias."""
     out = [np.zeros(0)]
-    for row, end, data, offsets in chunks(lowered(texts)):
+    for row, end, data, offsets in chunks(lowered(texts), FIT_CHUNK):
         total, times = np.zeros(end - row), np.full(end - row, float(PRIOR))
         for owner, bucket in subwords(data, offsets):
             total += np.bincount(owner, value[bucket], end - row)
