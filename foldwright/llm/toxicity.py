@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -235,8 +234,8 @@ def with_score(df: DataFrame, model: Model, text: str, name: str = "score_") ->
     """``df`` with the score as a column, computed batch by batch beside the row."""
     value, margin = model.value(), model.margin()
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(pa.array(texts, pa.string()), value, margin))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(texts, value, margin))
 
     return df.withColumn(name, scored(F.col(text).cast("string")))
