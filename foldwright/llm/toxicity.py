@@ -19,7 +19,7 @@ from .kernels import BASE, BASE_INVERSE, SPACES, chunks, finish, powers
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIM = 8
-#: Bound of the fitting sample: labelled rows in order of a hash of their key, and code points read of all of them.
+#: Bound of the fitting sample: labelled rows, and code points read of all of them.
 MAX_ROWS = 6_000
 MAX_CHARS = 24_000_000
 #: Passes over the sample, and mini-batches of the fit at least.
@@ -168,20 +168,24 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     return Model(**params)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], np.ndarray]:
-    """The fitting sample: the first MAX_ROWS labelled keys by hash, cut where MAX_CHARS code points are reached.
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], np.ndarray, float]:
+    """The fitting sample and the log odds of label 1 in all labels.
 
-    Keys are chosen before any text is read; only the chosen texts reach the driver. Null labels and keys do not count;
-    of several labels of a key the largest does.
+    The sample has MAX_ROWS keys at most, half of them or more (if there are so many) of label 1, the first of each label
+    by hash; it is cut where MAX_CHARS code points are reached. Keys are chosen before any text is read; only the chosen
+    texts reach the driver. Null labels and keys do not count; of several labels of a key the largest does.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(MAX_ROWS)
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
+    count = {0: 0, 1: 0} | {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ones = min(count[1], max(MAX_ROWS // 2, MAX_ROWS - count[0]))
+    first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n)
+    chosen = first(1, ones).unionAll(first(0, MAX_ROWS - ones))
     found = docs.join(F.broadcast(chosen), F.col(key) == F.col("k"))
     sizes = sorted((r.h, r.k, r.n) for r in found.select(F.xxhash64("k").alias("h"), "k", F.char_length(text).alias("n")).collect())
     total = np.cumsum([n or 0 for _, _, n in sizes], dtype=np.int64)
     keep = {k for (_, k, _), t in zip(sizes, total, strict=True) if t <= MAX_CHARS}
     rows = sorted((r.h, r.k, r.t or "", r.y) for r in found.select(F.xxhash64("k").alias("h"), "k", F.col(text).alias("t"), "y").collect() if r.k in keep)
-    return [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
+    return [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), float(np.log((count[1] + 0.5) / (count[0] + 0.5)))
 
 
 def scores(texts: pa.Array, value: np.ndarray, margin: float) -> np.ndarray:
@@ -214,7 +218,12 @@ def held_out(key: str):
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    return fit(*sample(docs, labels.where(~held_out(key)), key, text, label))
+    texts, marks, odds = sample(docs, labels.where(~held_out(key)), key, text, label)
+    ones, n = int(marks.sum()), len(marks)
+    model = fit(texts, marks)
+    if n:  # label 1 is more frequent in the sample than in all labels
+        model.bias[1] += odds - np.log((ones + 0.5) / (n - ones + 0.5))
+    return model
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
