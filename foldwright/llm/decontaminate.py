@@ -11,6 +11,8 @@ from .common import BROADCAST_ROWS, bind, fresh, keys_within, materialize, table
 #: position of a window is ignored by one of the masks.
 MASKS = ("110110110", "101101101", "011011011")
 SPAN = 9
+#: Widths of plain windows beside the masks. With MIN_PERCENT of n tokens in place, some ``run_width(n)`` in a row are.
+WIDTHS = (1, 2, 3, 4)
 #: A document leaks an item if, on one alignment, this share of the item's tokens is in place.
 MIN_PERCENT = 80
 #: Rows of hashed benchmark windows that one pass broadcasts; a larger benchmark is joined in several passes.
@@ -25,22 +27,41 @@ def tokens(text: str | Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def seeds(toks: Column) -> Column:
-    """Hashes of every window of SPAN tokens under every mask: place * len(MASKS) + mask is the index."""
+def run_width(n: Column) -> Column:
+    """Tokens in a row, WIDTHS[-1] at most, that are in place wherever MIN_PERCENT of ``n`` tokens are (pigeonholes)."""
+    wrong = F.floor(n * (100 - MIN_PERCENT) / 100)
+    return F.least(F.ceil((n - wrong) / (wrong + 1)), F.lit(WIDTHS[-1])).cast("int")
+
+
+def picks(widths: tuple[int, ...]) -> list[list[int]]:
+    return [[i for i, bit in enumerate(m) if bit == "1"] for m in MASKS] + [list(range(w)) for w in widths]
+
+
+def seeds(toks: Column, widths: tuple[int, ...]) -> Column:
+    """Hashes of the windows under every mask and width; the index is place * (masks and widths) + which; null past the end."""
 
     def masked(a: Column, at: Column) -> Column:
-        picks = ([i for i, bit in enumerate(m) if bit == "1"] for m in MASKS)
-        return F.array(*(F.xxhash64(F.lit(k), *(F.get(a, at + i) for i in pick)) for k, pick in enumerate(picks)))
+        spans = [SPAN] * len(MASKS) + list(widths)
+        return F.array(*(F.when(at + span <= F.size(a), F.xxhash64(F.lit(f"{span}:{pick}"), *(F.get(a, at + i) for i in pick))) for pick, span in zip(picks(widths), spans, strict=True)))
 
     none = F.expr("CAST(array() AS array<bigint>)")
-    return bind(toks, lambda a: F.when(F.size(a) < SPAN, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - SPAN), lambda at: masked(a, at)))))
+    return bind(toks, lambda a: F.when(F.size(a) == 0, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda at: masked(a, at)))))
+
+
+def seed_rows(df: DataFrame, key: str, text: str, name: str, widths: tuple[int, ...]) -> DataFrame:
+    """(name, at, which, seed) of the texts; the tokens stay behind, as a copy of them in each row would grow with their square."""
+    n = len(MASKS) + len(widths)
+    rows = df.select(F.col(key).alias(name), F.posexplode(seeds(tokens(text), widths)).alias("i", "seed")).where("seed IS NOT NULL")
+    return rows.select(name, F.floor(F.col("i") / n).cast("int").alias(f"{name}_at"), (F.col("i") % n).alias("which"), "seed")
 
 
-def seed_rows(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """(name, at, seed) of the texts; the tokens stay behind, as a copy of them in each row would grow with their square."""
-    n = len(MASKS)
-    rows = df.select(F.col(key).alias(name), F.posexplode(seeds(tokens(text))).alias("i", "seed"))
-    return rows.select(name, F.floor(F.col("i") / n).cast("int").alias(f"{name}_at"), "seed")
+def item_seeds(items: DataFrame, key: str, text: str) -> tuple[DataFrame, tuple[int, ...]]:
+    """(item, item_at, seed): the masks of every item and the windows of its own run width; and the widths there are."""
+    need = items.select(F.col(key).alias("item"), run_width(F.size(tokens(text))).alias("need")).where("need > 0").distinct()
+    widths = tuple(sorted(r.need for r in need.select("need").distinct().collect()))
+    width_of = F.get(F.array(*(F.lit(w) for w in (*([0] * len(MASKS)), *widths))), F.col("which"))
+    rows = seed_rows(items, key, text, "item", widths).join(need, "item").where((F.col("which") < len(MASKS)) | (width_of == F.col("need")))
+    return rows.select("item", "item_at", "seed"), widths
 
 
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
@@ -52,15 +73,17 @@ def overlap(doc: Column, item: Column, shift: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row a document and item that it leaks: doc_id, item_id, matched and item tokens, and the best alignment.
 
-    Every window of SPAN tokens of the items is hashed under each mask and joined with every window of every document;
-    each hit fixes an alignment, on which the whole item is compared token by token. Substitutions cost their tokens
-    only. The benchmark is the query set: its windows are broadcast in blocks of BLOCK_ROWS rows at most, so documents
-    are neither shuffled nor grouped; only documents with hits are read again. Items of fewer than SPAN tokens, and null or empty texts, leak nowhere; repeated
-    rows of a document or item count as one; rows with a null id are not reported. No items or no documents: no rows.
+    Every window of SPAN tokens of the items is hashed under each mask, every window of its run width as it is, and both
+    are joined with the windows of every document; each hit fixes an alignment, on which the whole item is compared token
+    by token, so no alignment with ``min_percent`` (MIN_PERCENT at least) of an item in place is missed. The benchmark is the query set: its windows are broadcast in blocks of BLOCK_ROWS
+    rows at most, so documents are neither shuffled nor grouped; only documents with hits are read again. Items of fewer
+    than five tokens leak where a document holds them word for word. Null or empty texts leak nowhere; repeated rows of
+    a document or item count as one; rows with a null id are not reported. No items or no documents: no rows.
     """
-    windows = materialize(seed_rows(items, item_id, item_text, "item").distinct(), "seeds")
+    windows, widths = item_seeds(items, item_id, item_text)
+    windows = materialize(windows.distinct(), "seeds")
     blocks = max(1, -(-windows.count() // BLOCK_ROWS))
-    rows = seed_rows(docs, doc_id, text, "doc")
+    rows = seed_rows(docs, doc_id, text, "doc", widths)
     hits = None
     for k in range(blocks):
         block = windows if blocks == 1 else windows.where(F.pmod(F.hash("seed"), F.lit(blocks)) == k)
@@ -69,7 +92,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     hits = materialize(hits.distinct(), "seed-hits")
     side = keys_within(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), hits.select("doc").distinct(), "doc")
     side = side.select("doc", tokens("text").alias("doc_tokens"))
-    items = items.select(F.col(item_id).alias("item"), tokens(item_text).alias("item_tokens"))
+    items = items.select(F.col(item_id).alias("item"), tokens(item_text).alias("item_tokens")).distinct()
     n_items = items.limit(BROADCAST_ITEMS + 1).count()
     pairs = hits.join(F.broadcast(items) if n_items <= BROADCAST_ITEMS else items, "item").join(side, "doc")
     pairs = pairs.select("doc", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift")).alias("matched"))

@@ -95,6 +95,30 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.leaks(spark.createDataFrame([], DOCS), items).count() == 0
 
 
+def test_seeds_equal_brute_force_alignment(spark):
+    rng = random.Random(21)
+    items, rows, want = [], [], set()
+    for n in [5, 6, 7, 10, 11, *range(15, 61, 3)]:
+        item = [f"i{n}t{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(6):
+            copy = list(item)
+            for j in rng.sample(range(n), n // 5):
+                copy[j] = f"c{k}x{j}"
+            want.add((n * 10 + k, n))
+            rows.append((n * 10 + k, " ".join(prose(rng, 20) + copy + prose(rng, 20)), "a"))
+    for doc, n, changed in ((1001, 16, (7, 8)), (1002, 17, (7, 8, 9)), (1003, 20, (7, 8, 11, 12))):
+        items.append((doc, " ".join(f"d{doc}t{j}" for j in range(n))))
+        rows.append((doc, " ".join("changed" if j in changed else f"d{doc}t{j}" for j in range(n)), "a"))
+        want.add((doc, doc))
+    items += [(2001, "only three tokens"), (2002, "lone")]
+    rows += [(2001, "Here: ONLY three, tokens!", "a"), (2002, "only two tokens", "a")]
+    want.add((2001, 2001))
+    got = decontaminate.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.matched * 100 >= r.item_tokens * 80 for r in got)
+
+
 def test_quality_base_rules(spark):
     rep = " ".join(["a b c d e"] * 4)
     rows = [(1, rep, None), (2, "x\nx\n \n#$ y", "h"), (3, None, "h"), (4, " ".join(f"w{i}" for i in range(20)), "h")]
