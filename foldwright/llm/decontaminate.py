@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bind, fresh, keys_within, materialize, table, text_of
@@ -13,8 +13,14 @@ MASKS = ("110110110", "101101101", "011011011")
 SPAN = 9
 #: Widths of plain windows beside the masks. With MIN_PERCENT of n tokens in place, some ``run_width(n)`` in a row are.
 WIDTHS = (1, 2, 3, 4)
-#: A document leaks an item if, on one alignment, this share of the item's tokens is in place.
+#: A document leaks an item if this share of the item's tokens is in place, on one alignment or, with tokens put in or
+#: left out, on neighbouring ones; or if on one alignment this share of some LOCAL tokens of the item is.
 MIN_PERCENT = 80
+LOCAL = 13
+#: Over several alignments, only tokens count that lie in NEAR tokens of which MIN_PERCENT are in place. Alignments are
+#: neighbours if their shifts differ by NEAR_SHIFT tokens or by a fifth of the item's tokens at most.
+NEAR = 5
+NEAR_SHIFT = 5
 #: Rows of hashed benchmark windows that one pass broadcasts; a larger benchmark is joined in several passes.
 BLOCK_ROWS = 300_000
 #: Items whose tokens may be broadcast for the comparison.
@@ -64,10 +70,29 @@ def item_seeds(items: DataFrame, key: str, text: str) -> tuple[DataFrame, tuple[
     return rows.select("item", "item_at", "seed"), widths
 
 
+def in_place(doc: Column, item: Column, shift: Column) -> Column:
+    """Per token of the item 1 if it is in place in the document, with the item's first token at ``shift``, else 0."""
+    return F.transform(item, lambda x, j: F.coalesce((F.get(doc, j + shift) == x) & (j + shift >= 0), F.lit(False)).cast("int"))
+
+
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
     """Tokens of the item found in place in the document, with the item's first token at ``shift``."""
-    same = F.transform(item, lambda x, j: F.coalesce((F.get(doc, j + shift) == x) & (j + shift >= 0), F.lit(False)).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda acc, x: acc + x)
+    return F.aggregate(in_place(doc, item, shift), F.lit(0), lambda acc, x: acc + x)
+
+
+def window_sums(same: Column, width: Column) -> Column:
+    """Sum of every window of ``width`` values; none if there are fewer."""
+    none = F.expr("CAST(array() AS array<int>)")
+    sums = F.transform(F.sequence(F.lit(0), F.size(same) - width), lambda i: F.aggregate(F.slice(same, i + 1, width), F.lit(0), lambda acc, x: acc + x))
+    return F.when(F.size(same) < width, none).otherwise(sums)
+
+
+def near_places(same: Column, percent: int) -> Column:
+    """Places of the tokens that are in place inside a window of NEAR tokens (or all, if fewer) of which ``percent`` are."""
+    width = F.least(F.size(same), F.lit(NEAR))
+    good = F.filter(F.transform(window_sums(same, width), lambda x, i: F.when(x * 100 >= width * percent, i)), lambda i: i.isNotNull())
+    spread = F.array_distinct(F.flatten(F.transform(good, lambda i: F.sequence(i, i + width - 1))))
+    return F.filter(spread, lambda j: F.get(same, j) == 1)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", min_percent: int = MIN_PERCENT) -> DataFrame:
@@ -75,7 +100,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
     Every window of SPAN tokens of the items is hashed under each mask, every window of its run width as it is, and both
     are joined with the windows of every document; each hit fixes an alignment, on which the whole item is compared token
-    by token, so no alignment with ``min_percent`` (MIN_PERCENT at least) of an item in place is missed. The benchmark is the query set: its windows are broadcast in blocks of BLOCK_ROWS
+    by token, so no alignment with ``min_percent`` (MIN_PERCENT at least) of an item in place is missed. Where no single
+    alignment has that share, the tokens in place near others are added over neighbouring alignments; LOCAL tokens with
+    that share in place are a leak, however long the item is. ``matched`` is of the best alignment if it has the share,
+    else of the neighbours together. The benchmark is the query set: its windows are broadcast in blocks of BLOCK_ROWS
     rows at most, so documents are neither shuffled nor grouped; only documents with hits are read again. Items of fewer
     than five tokens leak where a document holds them word for word. Null or empty texts leak nowhere; repeated rows of
     a document or item count as one; rows with a null id are not reported. No items or no documents: no rows.
@@ -95,9 +123,22 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     items = items.select(F.col(item_id).alias("item"), tokens(item_text).alias("item_tokens")).distinct()
     n_items = items.limit(BROADCAST_ITEMS + 1).count()
     pairs = hits.join(F.broadcast(items) if n_items <= BROADCAST_ITEMS else items, "item").join(side, "doc")
-    pairs = pairs.select("doc", "item", "shift", F.size("item_tokens").alias("n"), overlap(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift")).alias("matched"))
-    best = F.max(F.struct("matched", (-F.col("shift")).alias("back"), "n")).alias("best")
-    best = pairs.where(F.col("matched") * 100 >= F.col("n") * min_percent).groupBy("doc", "item").agg(best)
+    n, percent = F.size("item_tokens"), F.lit(min_percent)
+    pairs = pairs.withColumn("n", n).withColumn("matched", overlap(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift")))
+    pairs = pairs.where(F.col("matched") * 100 >= F.least("n", F.lit(NEAR)) * percent)
+    same = in_place(F.col("doc_tokens"), F.col("item_tokens"), F.col("shift"))
+    whole = F.col("matched") * 100 >= F.col("n") * percent
+    local = bind(same, lambda a: F.coalesce(F.array_max(window_sums(a, F.lit(LOCAL))), F.lit(0)))
+    pairs = materialize(pairs.select("doc", "item", "shift", "n", "matched", F.when(whole, F.lit(0)).otherwise(local).alias("local"), F.when(whole, F.expr("CAST(array() AS array<int>)")).otherwise(bind(same, lambda a: near_places(a, min_percent))).alias("places")), "seed-pairs")
+    before = F.lag("shift").over(Window.partitionBy("doc", "item").orderBy("shift"))
+    opens = F.coalesce(F.col("shift") - before > F.greatest(F.lit(NEAR_SHIFT), F.floor(F.col("n") / 5)), F.lit(True))
+    pairs = pairs.withColumn("opens", opens.cast("int")).withColumn("turn", F.sum("opens").over(Window.partitionBy("doc", "item").orderBy("shift")))
+    places = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))
+    turns = pairs.groupBy("doc", "item", "turn").agg(F.max(F.struct("matched", (-F.col("shift")).alias("back"), "n")).alias("top"), F.max("local").alias("local"), places.alias("near"))
+    whole = F.col("top.matched") * 100 >= F.col("top.n") * percent
+    turns = turns.where(whole | (F.col("near") * 100 >= F.col("top.n") * percent) | (F.col("local") * 100 >= LOCAL * percent))
+    best = F.max(F.struct(whole.alias("whole"), F.when(whole, F.col("top.matched")).otherwise(F.greatest("top.matched", "near")).alias("matched"), "top.back", "top.n")).alias("best")
+    best = turns.groupBy("doc", "item").agg(best)
     return best.select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("best.matched").cast("long").alias("matched"), F.col("best.n").cast("long").alias("item_tokens"), (-F.col("best.back")).cast("long").alias("shift")
     )

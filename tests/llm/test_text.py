@@ -119,6 +119,19 @@ def test_seeds_equal_brute_force_alignment(spark):
     assert all(r.matched * 100 >= r.item_tokens * 80 for r in got)
 
 
+def test_decontamination_adds_neighbouring_alignments(spark):
+    rng = random.Random(22)
+    item = [f"i{j}" for j in range(200)]
+    more, less, other = item[:100] + ["new"] + item[100:], item[:100] + item[101:], prose(rng, 40)
+    rows = [(1, more), (2, less), (3, other + item[40:160] + other), (4, other + item[50:57] + other), (5, item[:7] + other + item[7:14] + other + item[14:21])]
+    docs = spark.createDataFrame([(i, " ".join(w), "a") for i, w in rows], DOCS)
+    got = {r.doc_id: (r.matched, r.item_tokens) for r in decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (200, 200), 2: (199, 200), 3: (120, 200)}
+    short = [f"s{j}" for j in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(short[:6] + ["new"] + short[6:]), "a")], DOCS)
+    assert decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(short))], "item_id long, text string")).count() == 1
+
+
 def test_quality_base_rules(spark):
     rep = " ".join(["a b c d e"] * 4)
     rows = [(1, rep, None), (2, "x\nx\n \n#$ y", "h"), (3, None, "h"), (4, " ".join(f"w{i}" for i in range(20)), "h")]
