@@ -12,8 +12,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-#: A line is boilerplate if more than so many different texts of its host hold it, and more than so many of a
-#: thousand of them.
+#: A line is boilerplate if more than so many documents of its host hold it, and more than so many of a thousand of
+#: them.
 MAX_TEXTS = 10
 MAX_PER_MILLE = 2
 #: A document is depleted if fewer words than this, or than this share, are left without its boilerplate lines.
@@ -87,14 +87,14 @@ def doc_lines(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame) -> DataFrame:
-    """The (host, line_hash) that too many different texts of the host hold.
+    """The (host, line_hash) that too many documents of the host hold.
 
-    Exact copies of a text count once (whole copies are for deduplication), and so does a line repeated in a text. The
-    distinct (host, line, text) are summed before the second shuffle, so a line that a third of all documents hold
+    Documents are distinct (key, text), so copies under other keys count, and a line repeated in a text counts once. The
+    distinct (host, line, document) are summed before the second shuffle, so a line that a third of all documents hold
     reaches its counter as one row a task. Null hosts are one host.
     """
-    texts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    counts = lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n"))
+    texts = lines.select("host", "key", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    counts = lines.select("host", "line_hash", "key", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n"))
     counts = counts.where(F.col("n") > MAX_TEXTS)
     texts = texts.select(F.col("host").alias("h"), "texts")
     joined = counts.join(_sized(texts), counts["host"].eqNullSafe(F.col("h")))

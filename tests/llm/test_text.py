@@ -141,6 +141,14 @@ def test_quality_base_rules(spark):
     assert got[3].n_words == 0 and not got[3].kept and got[4].kept
 
 
+def test_quality_counts_documents(spark):
+    line = "the same line of many words in every copy of one text here"
+    rows = [(i, line, "h") for i in range(40)] + [(100 + i, f"{line}\nown words of text {i} " + " ".join(f"v{i}x{j}" for j in range(30)), "h") for i in range(3)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i].depleted and not got[i].kept and not got[i].base_failed for i in range(40))
+    assert all(got[100 + i].n_line_words == len(line.split()) and got[100 + i].kept for i in range(3))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a<turn x> \\l"), (1, 1, "user", None), (1, 2, "assistant", "</turn>\n<seam>\\"), (2, None, None, "é<"), (None, 0, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
