@@ -106,10 +106,20 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at ``places`` (from 0), each with its line feed; null for null."""
+
+    def rest(a: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(a) - 1), places)
+        return F.array_join(F.transform(kept, lambda i: F.get(a, i)), "\n")
+
+    return F.when(places.isNull(), text).otherwise(bind(F.split(text, "\n"), rest))
+
+
 def quality(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """``df`` with the base features, n_line_words (words in boilerplate lines), depleted and kept.
+    """``df`` with the base features, n_line_words (words in boilerplate lines), clean_text, depleted and kept.
 
-    The lines that ``boilerplate`` finds count as removed; a document is depleted if fewer than MIN_WORDS_LEFT words or
+    clean_text is the text without the lines that ``boilerplate`` finds, the other lines unchanged; a document is depleted if fewer than MIN_WORDS_LEFT words or
     MIN_PERCENT_LEFT percent of its words stay; it is kept if it is neither depleted nor fails the base rules. Null
     and empty texts have no words and fail them. Rows with equal key and text are one document and get one verdict; a
     null key is a key. An empty table stays empty. Columns named like the results are replaced.
@@ -118,11 +128,11 @@ def quality(df: DataFrame, key: str = "doc_id", host: str = "source", text: str
     frequent = materialize(boilerplate(lines), "boilerplate").select(F.col("host").alias("h"), F.col("line_hash").alias("l"))
     hit = lines.join(_sized(frequent), lines["host"].eqNullSafe(F.col("h")) & (lines["line_hash"] == F.col("l")))
     hit = hit.select("key", "text_hash", "place", "words").distinct()
-    k, t, gone = fresh(df, "k", "t", "gone")
-    hit = hit.groupBy(F.col("key").alias(k), F.col("text_hash").alias(t)).agg(F.sum("words").alias(gone))
+    k, t, gone, gone_at = fresh(df, "k", "t", "gone", "gone_at")
+    hit = hit.groupBy(F.col("key").alias(k), F.col("text_hash").alias(t)).agg(F.sum("words").alias(gone), F.collect_set("place").alias(gone_at))
     out = base_features(df, text)
     out = out.join(hit, out[key].eqNullSafe(F.col(k)) & (F.xxhash64(text_of(text)) == F.col(t)), "left")
-    out = out.withColumn("n_line_words", F.coalesce(F.col(gone), F.lit(0)).cast("long")).drop(k, t, gone)
+    out = out.withColumns({"n_line_words": F.coalesce(F.col(gone), F.lit(0)).cast("long"), "clean_text": without_lines(F.col(text), F.col(gone_at))}).drop(k, t, gone, gone_at)
     left = F.col("n_words") - F.col("n_line_words")
     out = out.withColumn("depleted", (left < MIN_WORDS_LEFT) | (100 * left < MIN_PERCENT_LEFT * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))

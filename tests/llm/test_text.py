@@ -149,6 +149,14 @@ def test_quality_counts_documents(spark):
     assert all(got[100 + i].n_line_words == len(line.split()) and got[100 + i].kept for i in range(3))
 
 
+def test_quality_returns_clean_text(spark):
+    rows = [(i, f"Own {i}  line\n\n All  rights RESERVED\n" + " ".join(f"v{i}x{j}" for j in range(20)) + "\nall rights reserved", "h") for i in range(20)]
+    rows += [(50, None, "h"), (51, "", "h"), (52, "All rights reserved", "other"), (53, "all rights reserved", "h")]
+    got = {r.doc_id: r.clean_text for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == f"Own {i}  line\n\n" + " ".join(f"v{i}x{j}" for j in range(20)) for i in range(20))
+    assert (got[50], got[51], got[52], got[53]) == (None, "", "All rights reserved", "")
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a<turn x> \\l"), (1, 1, "user", None), (1, 2, "assistant", "</turn>\n<seam>\\"), (2, None, None, "é<"), (None, 0, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
