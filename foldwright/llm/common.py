@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,34 +36,64 @@ def bind(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir`` that driver and executors share.
+
+    Where the session names none, a local master gets a folder below /tmp, as all its threads see it; a cluster gets an
+    error, as rows written to a machine's own disk would be lost.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or "file:///tmp/checkpoints"
 
 
-#: Setting under which the shuffle files of a query go when it ends, not when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go when the query ends, not when the driver collects its
+#: garbage, and Python workers get batches of fewer rows, as texts can be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; a lost executor loses none of it. Its shuffles are then removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldwright/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    if before is not None:
-        spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    before = {k: v for k, v in before.items() if v is not None}
     try:
+        for k in before:
+            spark.conf.set(k, WRITING[k])
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is counted to be small, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def keys_within(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Join ``df`` with a table of keys; the keys are broadcast only after counting them, else both sides shuffle."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if small else keys, on, how)
+    return df.join(sized(keys), on, how)
+
+
+#: A value is hot if more than one in so many rows hold it; there are at most so many of them.
+HOT_SHARE = 10_000
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counts``, one row a value that says in ``n`` how many of the ``total`` rows hold it.
+
+    Rows of hot values stay where they are: of values that more than total / HOT_SHARE rows hold there are fewer than
+    HOT_SHARE, which are broadcast. The others are joined by shuffling, and none of their groups is large.
+    """
+    limit = total // HOT_SHARE
+    hot, cold = counts.where(F.col(n) > max(limit, 1000)), counts.where(F.col(n) <= max(limit, 1000))
+    if not hot.limit(1).count():
+        return rows.join(cold, on)
+    cold_rows = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(cold_rows.join(cold, on))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

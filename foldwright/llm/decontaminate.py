@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bind, fresh, keys_within, materialize, table, text_of
+from .common import bind, fresh, keys_within, materialize, sized, table, text_of
 
 #: Fixed masks over nine tokens: each ignores every third position, so a hit survives substitutions there; each
 #: position of a window is ignored by one of the masks.
@@ -151,12 +151,13 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that leak no benchmark item."""
+    """Pipeline stage: the documents that leak no benchmark item, with their columns as they are.
+
+    Null and empty texts and rows without a doc_id stay; rows of one doc_id go together; without items all stay.
+    """
     found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     key = fresh(docs, "leak_id")[0]
-    found = found.select(F.col("doc_id").alias(key))
-    small = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(found) if small else found, docs["doc_id"] == found[key], "left_anti")
+    return docs.join(sized(found.select(F.col("doc_id").alias(key))), F.col("doc_id") == F.col(key), "left_anti")
 
 
 OP10_SQL = rf"""

@@ -1,7 +1,8 @@
 """Vectorised text hashing inside tasks: words, shingles and byte windows of an Arrow column of texts.
 
 All hashes are polynomials modulo 2 ** 64 over random byte values, with prefix sums, so the hash of any span of a batch
-costs a few operations. Batches are cut into chunks of bounded bytes (a longer text is a chunk of its own).
+costs a few operations. Batches are cut into chunks of bounded bytes (a longer text is a chunk of its own), so a worker
+holds a few arrays of eight bytes for each byte of a chunk; no result depends on where chunks end.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
+#: Longest table of powers that stays between calls.
+KEPT_POWERS = 1 << 21
 #: Odd base of the polynomials, its inverse modulo 2 ** 64, seed of the byte values, finishing multipliers.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -28,12 +31,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), kept between calls."""
+    """base ** 0 .. base ** (n - 1); tables up to KEPT_POWERS are kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
         steps[0] = 1
-        _powers[base] = have = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if len(have) <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 

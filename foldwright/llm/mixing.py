@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, materialize, table, words
+from .common import fresh, materialize, sized, table, words
 
 #: Weights go round in source order; a source is repeated three times at most.
 WEIGHTS = (1, 2, 3)
@@ -88,29 +88,26 @@ def keys_null_safe(df: DataFrame, other: DataFrame, on: list[str], how: str = "i
     """Join on columns of the same names, null equal to null; ``other``, a row a source, is broadcast if it is small."""
     renamed = other.select(*(F.col(c).alias(f"__{c}" if c in on else c) for c in other.columns))
     cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
-    small = other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(renamed) if small else renamed, cond, how).drop(*(f"__{c}" for c in on))
+    return df.join(sized(renamed), cond, how).drop(*(f"__{c}" for c in on))
 
 
-def with_copies(df: DataFrame, plan: DataFrame, key: str, source: str, copies: str = "copies") -> DataFrame:
+def with_copies(df: DataFrame, plan: DataFrame, key: str, source: str, source_size: str = "source_size", target: str = "target", copies: str = "copies") -> DataFrame:
     """``df`` with source_size, target and the copies the plan takes of each row; the rows themselves are not shuffled.
 
-    Columns of ``df`` named like the results are replaced.
+    Columns of ``df`` named like the three results are replaced.
     """
-    names = ("source_size", "target", "base", "f", "last_bin", "cut", "extra_key")
-    df = df.drop("source_size", "target", copies)
-    new = dict(zip(names, fresh(df, *names), strict=True))
-    src, rank = fresh(df, "mix_source", "mix_rank")
+    names = ("base", "f", "last_bin", "cut", "extra_key")
+    df = df.drop(source_size, target, copies)
+    new = {"source_size": source_size, "target": target} | dict(zip(names, fresh(df.withColumns({source_size: F.lit(0), target: F.lit(0)}), *names), strict=True))
+    src, rank = fresh(df, *(f"{n}_" for n in ("mix_source", "mix_rank")))
     plan = plan.select(F.col("source").alias(src), *(F.col(c).alias(n) for c, n in new.items()))
-    small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = df.join(F.broadcast(plan) if small else plan, F.col(source).eqNullSafe(F.col(src)))
+    out = df.join(sized(plan), F.col(source).eqNullSafe(F.col(src)))
     text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
     out = out.withColumn(rank, odds_score(text_key, F.col(new["f"])))
     by_rank = (F.floor(F.col(rank) * RANK_BINS) <= F.col(new["last_bin"])) | (F.col(rank) <= F.col(new["cut"]))
     by_gap = F.coalesce(text_key == F.col(new["extra_key"]), F.lit(False))
     out = out.withColumn(copies, F.col(new["base"]) + by_rank.cast("long") + by_gap.cast("long"))
-    drop = [n for c, n in new.items() if c not in ("source_size", "target")]
-    return out.drop(src, rank, *drop)
+    return out.drop(src, rank, *(new[c] for c in names))
 
 
 def _n_words(col: str = "text") -> Column:
@@ -125,8 +122,12 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, each as often as it is taken."""
-    size, copies = fresh(docs, "size", "copies")
+    """Pipeline stage: the documents of the mix, each as often as it is taken, with their columns as they are.
+
+    A null source is a source; documents without words cost nothing and are taken as often as their source's whole copies
+    and rank say; rows of one source with equal doc_id are taken together; no documents, no rows.
+    """
+    size, copies, source_size, target = fresh(docs, "size", "copies", "source_size", "target")
     sizes = materialize(docs.select("doc_id", "source", _n_words().alias(size)), "mix-sizes")
-    out = with_copies(docs, mix_plan(sizes, "doc_id", "source", size), "doc_id", "source", copies)
+    out = with_copies(docs, mix_plan(sizes, "doc_id", "source", size), "doc_id", "source", source_size, target, copies)
     return out.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -11,20 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, fresh, materialize, table
+from .common import fresh, join_counted, materialize, sized, table
 from .components import components
 from .kernels import chunks, finish, shingles
 
-#: Links need 100 * intersection >= MIN_PERCENT * union of the 5-word shingle sets.
-MIN_PERCENT = 85
-#: Values of a sketch. Of a pair at 85 %, the sketches share 27 of 32 values in the mean (standard deviation 2); the
-#: inverted lists find every pair that shares 17 (odds of fewer: 4e-6), the estimate passes 16 of 32 and more.
+#: Links need 100 * intersection >= min_percent * union of the 5-word shingle sets: 80 for the operator and the stage, 85
+#: in the query, whose contract says so.
+MIN_PERCENT = 80
+QUERY_PERCENT = 85
+#: Values of a sketch. The inverted lists find every pair whose sketches share 17 of 32 values (odds of fewer at 80 %, by
+#: four million simulated pairs: under 1e-6); the estimate passes half of the known values and more (odds of fewer: 8e-6).
 SKETCH = 32
 MIN_ESTIMATE = 0.5
 #: Lists up to this length give all their pairs; longer ones give links to their first document, then are compared in
-#: blocks of BLOCK documents between different components only.
+#: blocks of about BLOCK documents or BLOCK_SHINGLES shingles between different components only.
 SHORT_LIST = 16
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, keep: int | None) -> DataFrame:
@@ -48,10 +51,10 @@ def shingle_sets(df: DataFrame, key: str, text: str, keep: int | None) -> DataFr
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def _close(a: str, b: str):
+def _close(a: str, b: str, min_percent: int):
     """Sizes that allow a link."""
     low, high = F.least(a, b), F.greatest(a, b)
-    return low * 100 >= high * MIN_PERCENT
+    return low * 100 >= high * min_percent
 
 
 def postings(reps: DataFrame) -> DataFrame:
@@ -62,14 +65,21 @@ def postings(reps: DataFrame) -> DataFrame:
     holds fill these places without being listed.
     """
     every = reps.select(F.col("key").alias("doc"), F.col("n_shingles").alias("n"), F.size("hashes").alias("m"), F.explode("hashes").alias("value"))
-    shared = every.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = every.join(shared, "value").groupBy("doc", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    shared = materialize(every.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "near-values")
+    total = reps.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    held = join_counted(every, shared, "value", "df", total).groupBy("doc", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     places = F.col("m") - F.floor(F.col("m") / 2) - (F.col("m") - F.size("held"))
     held = held.where(places > 0).select("doc", "n", F.explode(F.slice("held", F.lit(1), places.cast("int"))).alias("x"))
     return held.select("x.value", "doc", "n", "x.df")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def sets_of(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, hashes): the full sets of the documents in ``ids`` (key), one row a key."""
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sized(ids), "key", "left_semi").dropDuplicates(["key"])
+    return shingle_sets(some, "key", "text", None).select("key", "hashes")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, min_percent: int) -> DataFrame:
     """The pairs (a, b) that are links: union-sketch estimate first, then the full sets."""
     sk = reps.select(F.col("key").alias("d"), F.col("hashes").alias("s"))
     pairs = pairs.join(sk.withColumnsRenamed({"d": "a", "s": "sa"}), "a").join(sk.withColumnsRenamed({"d": "b", "s": "sb"}), "b")
@@ -80,17 +90,15 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
     known = F.size(F.filter("sa", lambda x: x <= F.col("limit"))) + F.size(F.filter("sb", lambda x: x <= F.col("limit"))) - F.col("both")
     pairs = materialize(pairs.where(F.col("both") >= F.lit(MIN_ESTIMATE) * known).select("a", "b"), "near-candidates")
     ids = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids) if small else ids, "key", "left_semi").dropDuplicates(["key"])
-    sets = materialize(shingle_sets(some, "key", "text", None).select("key", "hashes"), "near-sets")
+    sets = materialize(sets_of(ids, docs, key, text), "near-sets")
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     full = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return full.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * MIN_PERCENT).select("a", "b")
+    return full.where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * min_percent).select("a", "b")
 
 
-def block_links(keys: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], cross: np.ndarray | None) -> list[tuple[int, int]]:
+def block_links(keys: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], cross: np.ndarray | None, min_percent: int) -> list[tuple[int, int]]:
     """Links between documents of different components, until no component can grow: a spanning forest.
 
     Intersections are counted exactly, through a matrix of documents by hash values, in slices of its columns.
@@ -107,7 +115,7 @@ def block_links(keys: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], cro
         grid = np.zeros((len(sets), 4096), np.float32)
         grid[rows[part], cols[part] - at] = 1
         both += grid @ grid.T
-    ok = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * MIN_PERCENT
+    ok = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * min_percent
     ok &= comps[:, None] != comps[None, :]
     if cross is not None:
         ok &= cross[:, None] != cross[None, :]
@@ -127,38 +135,45 @@ def block_links(keys: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], cro
     return out
 
 
-def long_list_links(lists: DataFrame, comp: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
+def long_list_links(lists: DataFrame, comp: DataFrame, docs: DataFrame, key: str, text: str, min_percent: int) -> DataFrame | None:
     """Links that the long lists hold between documents of different components; None if there is nothing to compare.
 
-    A list is cut into blocks by hash; each pair of blocks is a group of its own, so no task holds more than two
-    blocks, and pairs inside a component are not looked at.
+    Of each list, the documents outside its largest component are cut into blocks by hash, which meet each other and the
+    blocks of the largest component: rows grow with the list times the blocks of outsiders, not with its square. Each
+    pair of blocks is a group of its own, so no task holds more than two, and pairs inside a component are not looked at.
     """
-    lists = lists.join(comp.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    open_ = lists.select("value", "comp").distinct().groupBy("value").agg(F.count("*").alias("comps")).where("comps > 1")
-    lists = materialize(lists.join(open_, "value").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "near-lists")
-    ids = lists.select(F.col("doc").alias("key")).distinct()
-    n = ids.limit(BROADCAST_ROWS + 1).count()
-    if not n:
+    comp = comp.select(F.col("node").alias("doc"), "comp")
+    lists = materialize(lists.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "near-lists")
+    per = lists.groupBy("value", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    open_ = per.groupBy("value").agg(F.max(F.struct("docs", "comp", "shingles")).alias("top"), F.sum("docs").alias("size"), F.sum("shingles").alias("shingles"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    outer = blocks(F.col("size") - F.col("top.docs"), F.col("shingles") - F.col("top.shingles"))
+    open_ = materialize(open_.select("value", "size", F.col("top.comp").alias("top"), outer.alias("outer"), blocks(F.col("top.docs"), F.col("top.shingles")).alias("inner")), "near-open")
+    lists = materialize(join_counted(lists.drop("size"), open_, "value", "size", lists.count()), "near-blocks")
+    if not lists.limit(1).count():
         return None
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "key", "left_semi").dropDuplicates(["key"])
-    sets = shingle_sets(some, "key", "text", None).select(F.col("key").alias("doc"), "hashes")
-    mine = lists.withColumn("mine", F.pmod(F.hash("doc"), F.col("blocks")))
-    tiles = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets_of(lists.select(F.col("doc").alias("key")).distinct(), docs, key, text).withColumnRenamed("key", "doc")
+    outsider = F.col("comp") != F.col("top")
+    mine = F.when(outsider, F.pmod(F.hash("doc"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.hash("doc"), F.col("inner")))
+    others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    tiles = lists.withColumn("mine", mine).withColumn("other", F.explode(others))
     tiles = tiles.select("value", "doc", "comp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(sets, "doc")
     kind = lists.schema["doc"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
-        found = block_links(group["doc"].to_numpy(), group["comp"].to_numpy(), [np.asarray(s, np.int64) for s in group["hashes"]], cross)
+        found = block_links(group["doc"].to_numpy(), group["comp"].to_numpy(), [np.asarray(s, np.int64) for s in group["hashes"]], cross, min_percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype(group["doc"].dtype)
 
     return materialize(tiles.groupBy("value", "x", "y").applyInPandas(compare, schema), "near-links")
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", min_percent: int = MIN_PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; component_id is the smallest key reachable over links.
 
+    Two documents are linked if their 5-word shingle sets have ``min_percent`` (MIN_PERCENT at least) of their union in common.
+
     Texts with equal shingle sets (copies) are one class, stood for by its smallest key. Sketches of the classes go
     into inverted lists; pairs from the lists are estimated, then compared on the full sets. Rows without words are
     linked with nothing. Rows with equal keys are one document (the first of the equal keys' sets counts for links);
@@ -171,15 +186,15 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = materialize(reps.select("key", "n_shingles", "hashes"), "near-reps")
     entries = materialize(postings(reps), "near-postings")
     sizes = entries.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct("doc", "n")).alias("first")).where("size > 1")
-    lists = entries.select("value", "doc", "n").join(sizes, "value")
+    lists = join_counted(entries.select("value", "doc", "n"), materialize(sizes, "near-sizes"), "value", "size", entries.count())
     short = lists.where(F.col("size") <= SHORT_LIST).select("value", F.col("doc").alias("b"), F.col("n").alias("nb"))
     pairs = short.join(short.select("value", F.col("b").alias("a"), F.col("nb").alias("na")), "value").where(F.col("a") < F.col("b"))
     stars = lists.where((F.col("size") > SHORT_LIST) & (F.col("doc") != F.col("first.doc")))
     stars = stars.select(F.col("first.doc").alias("a"), F.col("doc").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
-    pairs = pairs.select("a", "b", "na", "nb").unionAll(stars).where(_close("na", "nb")).select("a", "b").distinct()
-    links = materialize(verified(pairs, reps, docs, key, text), "near-links")
+    pairs = pairs.select("a", "b", "na", "nb").unionAll(stars).where(_close("na", "nb", min_percent)).select("a", "b").distinct()
+    links = materialize(verified(pairs, reps, docs, key, text, min_percent), "near-links")
     comp = components(links)
-    more = long_list_links(lists.where(F.col("size") > SHORT_LIST).select("value", "doc", "size"), comp, docs, key, text)
+    more = long_list_links(lists.where(F.col("size") > SHORT_LIST).select("value", "doc", "n", "size"), comp, docs, key, text, min_percent)
     if more is not None and more.limit(1).count():
         comp = components(links.unionAll(more))
     out = feats.select("key", "n_shingles", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b", "n_shingles"], "left")
@@ -190,13 +205,39 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op4_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_components(docs).withColumnRenamed("key", "doc_id")
+    return near_components(docs, min_percent=QUERY_PERCENT).withColumnRenamed("key", "doc_id")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates, the one with the smallest doc_id."""
+    """Pipeline stage: one document of each group of near-duplicates (MIN_PERCENT), the one with the smallest doc_id.
+
+    Rows without a doc_id, words or near-duplicates stay; rows of equal doc_id stay or go together; no rows, no rows.
+    """
     out = materialize(near_components(docs).where("NOT kept").select("key").distinct(), "near-dropped")
     gone = fresh(docs, "gone")[0]
-    out = out.select(F.col("key").alias(gone))
-    small = out.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(out) if small else out, docs["doc_id"] == out[gone], "left_anti")
+    return docs.join(sized(out.select(F.col("key").alias(gone))), F.col("doc_id") == F.col(gone), "left_anti")
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {QUERY_PERCENT} * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS node, b AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen
+), low AS (
+  SELECT node, min(seen) AS low FROM reach GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE_CHARS, bind, fresh, materialize, table, text_of, words
+from .common import SPACE_CHARS, bind, fresh, materialize, sized, table, text_of, words
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -97,15 +97,10 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     counts = lines.select("host", "line_hash", "key", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n"))
     counts = counts.where(F.col("n") > MAX_TEXTS)
     texts = texts.select(F.col("host").alias("h"), "texts")
-    joined = counts.join(_sized(texts), counts["host"].eqNullSafe(F.col("h")))
+    joined = counts.join(sized(texts), counts["host"].eqNullSafe(F.col("h")))
     return joined.where(F.col("n") * 1000 > F.col("texts") * MAX_PER_MILLE).select("host", "line_hash")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def without_lines(text: Column, places: Column) -> Column:
     """The text without the lines at ``places`` (from 0), each with its line feed; null for null."""
 
@@ -126,7 +121,7 @@ def quality(df: DataFrame, key: str = "doc_id", host: str = "source", text: str
     """
     lines = materialize(doc_lines(df, key, host, text), "lines")
     frequent = materialize(boilerplate(lines), "boilerplate").select(F.col("host").alias("h"), F.col("line_hash").alias("l"))
-    hit = lines.join(_sized(frequent), lines["host"].eqNullSafe(F.col("h")) & (lines["line_hash"] == F.col("l")))
+    hit = lines.join(sized(frequent), lines["host"].eqNullSafe(F.col("h")) & (lines["line_hash"] == F.col("l")))
     hit = hit.select("key", "text_hash", "place", "words").distinct()
     k, t, gone, gone_at = fresh(df, "k", "t", "gone", "gone_at")
     hit = hit.groupBy(F.col("key").alias(k), F.col("text_hash").alias(t)).agg(F.sum("words").alias(gone), F.collect_set("place").alias(gone_at))
@@ -162,9 +157,9 @@ WITH d AS (
 ), lines AS (
   SELECT doc_id, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw_lines
 ), by_host AS (
-  SELECT source, line, count(DISTINCT t) AS n FROM lines JOIN d USING (doc_id) WHERE line <> '' GROUP BY source, line
+  SELECT source, line, count(DISTINCT doc_id) AS n FROM lines JOIN d USING (doc_id) WHERE line <> '' GROUP BY source, line
 ), hosts AS (
-  SELECT source, count(DISTINCT t) AS texts FROM d WHERE len(w) > 0 GROUP BY source
+  SELECT source, count(*) AS texts FROM d WHERE len(w) > 0 GROUP BY source
 ), frequent AS (
   SELECT b.source, line FROM by_host b JOIN hosts h ON b.source IS NOT DISTINCT FROM h.source
   WHERE n > {MAX_TEXTS} AND n * 1000 > texts * {MAX_PER_MILLE}

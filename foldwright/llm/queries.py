@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
     "op2_revisit_asof": revisits.OP2_SQL,
+    "op4_bottomk_near_dedup": near_dedup.OP4_SQL,
     "op5_relational_chat": chat.OP5_SQL,
     "op10_spaced_seeds": decontaminate.OP10_SQL,
 }

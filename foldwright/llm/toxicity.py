@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 from .kernels import BASE, BASE_INVERSE, SPACES, chunks, finish, powers
 
 #: Character n-grams of these lengths, inside a word with its boundary marks, and the words themselves.
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIM = 8
-#: Bound of the fitting sample: labelled rows, and code points read of all of them.
+#: Bound of the fitting sample: labelled rows, and code points of all of them and of one.
 MAX_ROWS = 6_000
 MAX_CHARS = 24_000_000
+MAX_TEXT = 480_000
 #: Passes over the sample, and mini-batches of the fit at least.
 EPOCHS = 6
 #: Bytes of text whose subwords a fit or a scoring task holds at once (a longer text is taken whole).
@@ -78,8 +79,11 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     yield owner[starts], bucket(starts - 1, ends - starts + 2)
 
 
-def lowered(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(texts.fill_null(""))
+def lowered_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Chunks of FIT_CHUNK bytes of the texts in lower case (a longer text is one chunk), lowered one by one."""
+    for row, end, _, _ in chunks(texts, FIT_CHUNK):
+        part = pc.utf8_lower(texts.slice(row, end - row).fill_null(""))
+        yield row, end, *next(chunks(part, max(1, part.nbytes)))[2:]
 
 
 @dataclass
@@ -97,33 +101,28 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bags of the texts in compressed rows: row offsets, buckets, their times (255 at most) and the subwords of each row;
-    and the rows that hold each bucket. ``texts`` is emptied, as the bags take its place in the driver's memory."""
-    column = lowered(pa.array(texts, pa.large_string()))
-    texts.clear()
+def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bags of the texts in compressed rows: row offsets, buckets, their times and the subwords of each row; and the
+    rows that hold each bucket."""
     ends, cols, counts, totals, rows = [np.zeros(1, np.int64)], [], [], [], np.zeros(1 << BUCKET_BITS, np.int64)
-    for _, _, data, offsets in chunks(column, FIT_CHUNK):
+    for _, _, data, offsets in lowered_chunks(texts):
         row, bucket = (np.concatenate(x) for x in zip(*subwords(data, offsets), strict=True))
         key, times = np.unique(row << BUCKET_BITS | bucket, return_counts=True)
         n = len(offsets) - 1
         totals.append(np.bincount(row, minlength=n))
         cols.append((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
         rows += np.bincount(cols[-1], minlength=len(rows))
-        counts.append(np.minimum(times, 255).astype(np.uint8))
+        counts.append(times.astype(np.int32))
         ends.append(ends[-1][-1] + np.cumsum(np.bincount(key >> BUCKET_BITS, minlength=n)))
     if not cols:
-        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.int64), rows
+        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), rows
     every = np.concatenate(cols)
     cols.clear()
     return np.concatenate(ends), every, np.concatenate(counts), np.concatenate(totals), rows
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
-    """Embeddings, weights and bias together, by Adam on mini-batches of the softmax loss. Without a sample, all scores are low.
-
-    ``texts`` is emptied, to spare the driver's memory.
-    """
+def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
+    """Embeddings, weights and bias together, by Adam on mini-batches of the softmax loss. Without a sample, all scores are low."""
     rng = np.random.RandomState(seed)
     size = 1 << BUCKET_BITS
     params = {
@@ -168,30 +167,39 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     return Model(**params)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], np.ndarray, float]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[pa.Array, np.ndarray, float]:
     """The fitting sample and the log odds of label 1 in all labels.
 
     The sample has MAX_ROWS keys at most, half of them or more (if there are so many) of label 1, the first of each label
-    by hash; it is cut where MAX_CHARS code points are reached. Keys are chosen before any text is read; only the chosen
-    texts reach the driver. Null labels and keys do not count; of several labels of a key the largest does.
+    by hash. In that order, a text is passed over if it is longer than MAX_TEXT or than what is left of MAX_CHARS. Sizes
+    are read first, one a key, so only the texts of the sample reach the driver. Null labels and keys do not count; of
+    several labels of a key the largest does, of several texts the one with the smallest hash.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
     count = {0: 0, 1: 0} | {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones = min(count[1], max(MAX_ROWS // 2, MAX_ROWS - count[0]))
     first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n)
     chosen = first(1, ones).unionAll(first(0, MAX_ROWS - ones))
-    found = docs.join(F.broadcast(chosen), F.col(key) == F.col("k"))
-    sizes = sorted((r.h, r.k, r.n) for r in found.select(F.xxhash64("k").alias("h"), "k", F.char_length(text).alias("n")).collect())
-    total = np.cumsum([n or 0 for _, _, n in sizes], dtype=np.int64)
-    keep = {k for (_, k, _), t in zip(sizes, total, strict=True) if t <= MAX_CHARS}
-    rows = sorted((r.h, r.k, r.t or "", r.y) for r in found.select(F.xxhash64("k").alias("h"), "k", F.col(text).alias("t"), "y").collect() if r.k in keep)
-    return [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), float(np.log((count[1] + 0.5) / (count[0] + 0.5)))
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    sizes = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("t"), F.char_length("t").alias("n"))).alias("text"))
+    kept, left = [], MAX_CHARS
+    for r in sizes.orderBy(F.xxhash64("k"), "k").collect():
+        if r.text.n <= min(left, MAX_TEXT):
+            kept.append((r.k, r.y, r.text.t))
+            left -= r.text.n
+    odds = float(np.log((count[1] + 0.5) / (count[0] + 0.5)))
+    if not kept:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64), odds
+    keep = docs.sparkSession.createDataFrame(kept, T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("h", T.LongType())]))
+    found = texts.join(F.broadcast(keep), "k").where(F.xxhash64("t") == F.col("h")).dropDuplicates(["k"])
+    rows = found.select(F.xxhash64("k").alias("h"), "k", "t", "y").toArrow().sort_by([("h", "ascending"), ("k", "ascending")])
+    return rows["t"].cast(pa.large_string()).combine_chunks(), rows["y"].to_numpy().astype(np.int64), odds
 
 
 def scores(texts: pa.Array, value: np.ndarray, margin: float) -> np.ndarray:
     """Scores of a batch of whole texts; a text without subwords has the score of the bias."""
     out = [np.zeros(0)]
-    for row, end, data, offsets in chunks(lowered(texts), FIT_CHUNK):
+    for row, end, data, offsets in lowered_chunks(texts):
         total, times = np.zeros(end - row), np.full(end - row, float(PRIOR))
         for owner, bucket in subwords(data, offsets):
             total += np.bincount(owner, value[bucket], end - row)
@@ -201,7 +209,11 @@ def scores(texts: pa.Array, value: np.ndarray, margin: float) -> np.ndarray:
 
 
 def score(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
-    """(key, score) of every row: the softmax of the averaged subword vectors of the whole text."""
+    """(key, score) of every row: the softmax of the averaged subword vectors of the whole text.
+
+    Equal texts get equal scores; a null or empty text, or one without a known subword, gets that of the bias. Rows of
+    equal or null key are scored each for itself; no rows, no rows; other columns are ignored.
+    """
     value, margin = model.value(), model.margin()
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("score", T.DoubleType())])
 
@@ -227,20 +239,15 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document; a null doc_id is not held out. Without labels all scores are low."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     out = score(docs, model, "doc_id", "text").withColumnRenamed("key", "doc_id")
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with a score under THRESHOLD."""
-    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return with_score(docs, model, "text").where(F.col("score_") < THRESHOLD).drop("score_")
-
-
-def with_score(df: DataFrame, model: Model, text: str, name: str = "score_") -> DataFrame:
-    """``df`` with the score as a column, computed batch by batch beside the row."""
+def with_score(df: DataFrame, model: Model, text: str, name: str) -> DataFrame:
+    """``df`` with the score as a column, computed batch by batch beside the row; a column of that name is replaced."""
     value, margin = model.value(), model.margin()
 
     @F.arrow_udf("double")
@@ -248,3 +255,13 @@ def with_score(df: DataFrame, model: Model, text: str, name: str = "score_") ->
         return pa.array(scores(texts, value, margin))
 
     return df.withColumn(name, scored(F.col(text).cast("string")))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents with a score under THRESHOLD, with their columns as they are.
+
+    Null and empty texts have the score of the bias and stay; equal texts stay or go together; no documents, no rows.
+    """
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    name = fresh(docs, "score")[0]
+    return with_score(docs, model, "text", name).where(F.col(name) < THRESHOLD).drop(name)
