@@ -227,10 +227,10 @@ WITH RECURSIVE d AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), both AS (
+), shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {QUERY_PERCENT} * (x.n + y.n - c)
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {QUERY_PERCENT} * (x.n + y.n - c)
 ), edges AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
