@@ -78,8 +78,10 @@ def keys_within(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi")
     return df.join(sized(keys), on, how)
 
 
-#: A value is hot if more than one in so many rows hold it; there are at most so many of them.
+#: A value is hot if more than one in so many rows hold it, and more than HOT_LEAST; there are at most so many of them, or
+#: one in HOT_LEAST rows where rows are few.
 HOT_SHARE = 10_000
+HOT_LEAST = 100
 
 
 def join_counted(rows: DataFrame, counts: DataFrame, on: str, n: str, total: int) -> DataFrame:
@@ -88,10 +90,10 @@ def join_counted(rows: DataFrame, counts: DataFrame, on: str, n: str, total: int
     Rows of hot values stay where they are: of values that more than total / HOT_SHARE rows hold there are fewer than
     HOT_SHARE, which are broadcast. The others are joined by shuffling, and none of their groups is large.
     """
-    limit = total // HOT_SHARE
-    hot, cold = counts.where(F.col(n) > max(limit, 1000)), counts.where(F.col(n) <= max(limit, 1000))
-    if not hot.limit(1).count():
-        return rows.join(cold, on)
+    limit = max(total // HOT_SHARE, HOT_LEAST)
+    hot, cold = counts.where(F.col(n) > limit), counts.where(F.col(n) <= limit)
+    if total <= limit or not hot.limit(1).count():
+        return rows.join(counts, on)
     cold_rows = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(cold_rows.join(cold, on))
 

@@ -101,24 +101,17 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bags of the texts in compressed rows: row offsets, buckets, their times and the subwords of each row; and the
-    rows that hold each bucket."""
-    ends, cols, counts, totals, rows = [np.zeros(1, np.int64)], [], [], [], np.zeros(1 << BUCKET_BITS, np.int64)
+def bags(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The buckets of each text's subwords, one array a text, and the texts that hold each bucket."""
+    out, rows = [], np.zeros(1 << BUCKET_BITS, np.int64)
     for _, _, data, offsets in lowered_chunks(texts):
         row, bucket = (np.concatenate(x) for x in zip(*subwords(data, offsets), strict=True))
-        key, times = np.unique(row << BUCKET_BITS | bucket, return_counts=True)
         n = len(offsets) - 1
-        totals.append(np.bincount(row, minlength=n))
-        cols.append((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
-        rows += np.bincount(cols[-1], minlength=len(rows))
-        counts.append(times.astype(np.int32))
-        ends.append(ends[-1][-1] + np.cumsum(np.bincount(key >> BUCKET_BITS, minlength=n)))
-    if not cols:
-        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), rows
-    every = np.concatenate(cols)
-    cols.clear()
-    return np.concatenate(ends), every, np.concatenate(counts), np.concatenate(totals), rows
+        rows += np.bincount(np.unique(row << BUCKET_BITS | bucket) & ((1 << BUCKET_BITS) - 1), minlength=len(rows))
+        ends = np.cumsum(np.bincount(row, minlength=n))
+        bucket = bucket.astype(np.int32)[np.argsort(row, kind="stable")]
+        out += [bucket[a:b].copy() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
+    return out, rows
 
 
 def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
@@ -133,7 +126,8 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
     share = np.clip(labels.mean() if len(texts) else 0.0, 1e-3, 1 - 1e-3)
     params["bias"][:] = np.log([1 - share, share])
     n_texts = len(texts)
-    ends, cols, times, totals, rows = bags(texts)
+    held, rows = bags(texts)
+    del texts
     often = (rows >= MIN_ROWS).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(v) for k, v in params.items()}
@@ -143,10 +137,9 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
         if len(order) < BATCH_ROWS:
             order = np.concatenate((order, rng.permutation(n_texts)))
         rows, order = order[:BATCH_ROWS], order[BATCH_ROWS:]
-        n = ends[rows + 1] - ends[rows]
-        place = np.repeat(ends[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        owner, col = np.repeat(np.arange(len(rows)), n), cols[place]
-        share = times[place] * often[col] * (SCALE / (totals[rows] + PRIOR)).astype(np.float32)[owner]
+        n = np.array([len(held[r]) for r in rows])
+        owner, col = np.repeat(np.arange(len(rows)), n), np.concatenate([held[r] for r in rows])
+        share = often[col] * (SCALE / (n + PRIOR)).astype(np.float32)[owner]
         hidden = np.stack([np.bincount(owner, share * params["embedding"][col, k], len(rows)) for k in range(DIM)], 1)
         logits = hidden @ params["weights"] + params["bias"]
         prob = np.exp(logits - logits.max(1, keepdims=True))
@@ -233,6 +226,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     texts, marks, odds = sample(docs, labels.where(~held_out(key)), key, text, label)
     ones, n = int(marks.sum()), len(marks)
     model = fit(texts, marks)
+    del texts
+    pa.default_memory_pool().release_unused()
     if n:  # label 1 is more frequent in the sample than in all labels
         model.bias[1] += odds - np.log((ones + 0.5) / (n - ones + 0.5))
     return model
