@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialize, table, text_of
+from .common import materialize, sized, table, text_of
+from .components import components
 from .kernels import chunks, finish, shingles, sliding_argmin
 
 #: Tokens are 5-word shingles; a passage has 50 words, 46 shingles, at least, and a similarity of MIN_SIMILARITY.
@@ -21,12 +22,14 @@ MIN_SIMILARITY = 0.8
 #: fewer than 2 agree are 0.0016, and exact copies always agree on all.
 FUNCTIONS = 6
 AGREE = 2
-#: Shingles before and after a window's minimum that make its context, and windows of a group that each one meets.
-CONTEXT = 6
-RECENT = 6
 #: Shingles without a partner that a passage may hold in a row, from the longest stretch tried to the plainest: a
 #: changed word spoils 5, two near ones 10.
 GAPS = (12, 5, 0)
+#: Lists of documents up to this length give all their pairs; longer ones are compared in blocks of about so many
+#: documents or shingles.
+SHORT_LIST = 32
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 
 
 def compact_windows(values: np.ndarray, row_ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,19 +64,9 @@ def compact_windows(values: np.ndarray, row_ends: np.ndarray, least: int) -> tup
     return c, left, right
 
 
-def _partner_fields(kind: T.DataType) -> list[T.StructField]:
-    return [T.StructField("near", kind), T.StructField("near_lo", T.IntegerType()), T.StructField("near_hi", T.IntegerType())]
-
-
 def window_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(group, ctx, key, lo, hi, near, near_lo, near_hi) of all compact windows of (key, text).
-
-    group is the function and its min-hash, ctx hashes the shingles around the minimum. Of the windows of one Arrow batch
-    that agree in both, the first goes on to its group; each other one carries the first as its partner and a random
-    group, so a passage of a third of all texts arrives at its group as one row a batch.
-    """
-    kind = docs.schema["key"].dataType
-    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("ctx", T.IntegerType()), T.StructField("key", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), *_partner_fields(kind)])
+    """(group, key, lo, hi) of all compact windows of (key, text); group is the function and its min-hash."""
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("key", docs.schema["key"].dataType), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,89 +75,28 @@ def window_rows(docs: DataFrame, least: int) -> DataFrame:
                 n = np.diff(at)
                 # one zero after each row
                 place = np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)
-                ends = at[1:] + np.arange(len(n))
-                starts = at[:-1] + np.arange(len(n))
-                every = np.zeros(len(hashes) + len(n), np.uint64)
-                every[place] = hashes
-                out = []
+                starts, ends = (at[i : i + len(n)] + np.arange(len(n)) for i in (0, 1))
+                keys = batch.column(0).slice(row, end - row)
                 for k in range(FUNCTIONS):
-                    values = np.zeros(len(every), np.uint64)
+                    values = np.zeros(len(hashes) + len(n), np.uint64)
                     values[place] = finish(hashes + np.uint64(k + 1)) | np.uint64(1)
                     c, lo, hi = compact_windows(values, ends, least)
                     r = np.searchsorted(ends, c)
                     group = (values[c] >> np.uint64(3) << np.uint64(3) | np.uint64(k)).view(np.int64)
-                    before, after = every[np.maximum(c - CONTEXT, starts[r])], every[np.minimum(c + CONTEXT, ends[r] - 1)]
-                    out.append((group, (finish(before * np.uint64(3) + after) >> np.uint64(33)).astype(np.int32), r, lo - starts[r], hi - starts[r]))
-                group, ctx, r, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-                if not len(group):
-                    continue
-                order = np.lexsort((lo, r, ctx, group))
-                group, ctx, r, lo, hi = (x[order] for x in (group, ctx, r, lo.astype(np.int32), hi.astype(np.int32)))
-                opens = np.concatenate(([True], (group[1:] != group[:-1]) | (ctx[1:] != ctx[:-1])))
-                lead = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-                away = finish(group.view(np.uint64) + np.arange(len(group), dtype=np.uint64) + np.uint64(row)).view(np.int64)
-                group = np.where(opens, group, (away & ~7) | (group & 7))
-                keys = batch.column(0).slice(row, end - row)
-                near = keys.take(pa.array(np.where(opens, 0, r[lead]), mask=opens))
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ctx), keys.take(pa.array(r)), pa.array(lo), pa.array(hi), near, pa.array(lo[lead], mask=opens), pa.array(hi[lead], mask=opens)], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(group), keys.take(pa.array(r)), *(pa.array((x - starts[r]).astype(np.int32)) for x in (lo, hi))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def partners(windows: DataFrame) -> DataFrame:
-    """(a, b, k, a_lo, a_hi, lo, hi): the windows of a group that are set against each other.
+def stars(windows: DataFrame) -> DataFrame:
+    """(group, a, a_lo, a_hi, b, lo, hi): every window of a group beside the group's first one (in order of key, place).
 
-    Windows come sorted by group, context, key and place. The first window of each context meets those of the RECENT
-    contexts before it and the first of its group, so groups up to that many contexts give all their pairs; each other
-    window meets the first of its context and the one before it. Whatever the group's size, the pass keeps RECENT + 2
-    windows. Partners that windows carry are passed on.
+    The window function keeps one row a group, however many there are. A passage of a third of all texts gives its group
+    a third of the texts, which is about 0.2 % of all windows.
     """
-    kind = windows.schema["key"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.IntegerType()) for c in ("k", "a_lo", "a_hi", "lo", "hi"))])
-
-    def pairs(a_keys, b_keys, k, a_lo, a_hi, lo, hi) -> pa.RecordBatch:
-        cross = np.asarray(pc.fill_null(pc.not_equal(a_keys, b_keys), False).cast(pa.uint8())).astype(bool)
-        cols = (pa.array(np.asarray(x).astype(np.int32)) for x in (k, a_lo, a_hi, lo, hi))
-        return pa.RecordBatch.from_arrays([a_keys, b_keys, *cols], names=schema.names).filter(pa.array(cross))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None  # of the last group so far: its first window, that of its last context, and the RECENT last
-        for batch in batches:
-            has = pc.is_valid(batch.column(5))
-            own = batch.filter(has)
-            if own.num_rows:
-                yield pairs(own.column(5), own.column(2), np.asarray(own.column(0)) & 7, own.column(6), own.column(7), own.column(3), own.column(4))
-            batch = batch.filter(pc.invert(has))
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch]).combine_chunks()
-            group, ctx = rows["group"].to_numpy(), rows["ctx"].to_numpy()
-            keys = rows["key"].combine_chunks()
-            lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
-            at = np.arange(len(group))
-            first = np.concatenate(([True], group[1:] != group[:-1]))
-            turn = first | np.concatenate(([True], ctx[1:] != ctx[:-1]))
-            lead, near = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (first, turn))
-            new = at >= (0 if carry is None else carry.num_rows)
-            turns = np.flatnonzero(turn)
-            links = [(lead[x], x) for x in (turns[lead[turns] != turns],)]
-            for back in range(1, RECENT + 1):
-                x, y = turns[:-back], turns[back:]
-                ok = (group[x] == group[y]) & (lead[y] != x)
-                links.append((x[ok], y[ok]))
-            rest = np.flatnonzero(~turn)
-            links.append((near[rest], rest))
-            rest = rest[near[rest] != rest - 1]
-            links.append((rest - 1, rest))
-            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-            a, b = a[new[b]], b[new[b]]
-            if len(a):
-                yield pairs(keys.take(pa.array(a)), keys.take(pa.array(b)), group[b] & 7, lo[a], hi[a], lo[b], hi[b])
-            tail = turns[-RECENT:]
-            keep = {int(lead[-1]), len(at) - 1, *map(int, tail[tail >= lead[-1]])}
-            carry = rows.take(pa.array(sorted(keep)))
-
-    return windows.repartition("group").sortWithinPartitions("group", "ctx", "key", "lo").mapInArrow(run, schema)
+    order = Window.partitionBy("group").orderBy("key", "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = windows.withColumn("first", F.first(F.struct("key", "lo", "hi")).over(order)).where(F.col("key") != F.col("first.key"))
+    return rows.select("group", F.col("first.key").alias("a"), F.col("first.lo").alias("a_lo"), F.col("first.hi").alias("a_hi"), F.col("key").alias("b"), "lo", "hi")
 
 
 def agreeing(k: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: int) -> list[tuple[int, int]]:
@@ -183,40 +115,61 @@ def agreeing(k: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: int) -> list[t
     return out
 
 
-def _stretches(places: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last indices of the runs of sorted places that are at most ``gap`` apart."""
+def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """The union of the intervals lo to hi, as disjoint ones in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(zip(lo.tolist(), hi.tolist(), strict=True)):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _stretches(places: np.ndarray, gap: int, least: int) -> list[tuple[int, int]]:
+    """First and last of the runs of sorted places that are at most ``gap`` apart and span ``least`` places."""
     cuts = np.flatnonzero(np.diff(places) > gap + 1)
-    return np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(places) - 1]))
+    first, last = places[np.concatenate(([0], cuts + 1))], places[np.concatenate((cuts, [len(places) - 1]))]
+    ok = last - first + 1 >= least
+    return list(zip(first[ok].tolist(), last[ok].tolist(), strict=True))
+
+
+def _widened(start: int, end: int, least: int, size: int) -> tuple[int, int]:
+    """The stretch, grown to ``least`` places where ``size`` allows: changed words at its ends belong to it."""
+    start = max(0, min(start, end - least + 1))
+    return start, min(size - 1, max(end, start + least - 1))
 
 
 def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of two shingle sequences: ends in b and in a (inclusive), and the exact Jaccard similarity.
 
-    Stretches of b whose shingles occur in a are set against the stretch of a that the shared shingles span. Stretches
-    with long gaps are tried first; what they do not settle is tried again with shorter ones.
+    Stretches of b whose shingles occur in a are set against the stretches of a that hold these shingles, the longest
+    first, until one is similar enough. Stretches may end in changed words, up to ``least`` shingles. Those with long gaps
+    are tried first; what they do not settle is tried again with shorter ones.
     """
-    places = np.flatnonzero(np.isin(b, a))
     out: list[tuple[int, int, int, int, float]] = []
-    if len(places) < least * MIN_SIMILARITY:
+    # two passages of ``least`` shingles share so many at MIN_SIMILARITY
+    fewest = int(np.ceil(2 * least * MIN_SIMILARITY / (1 + MIN_SIMILARITY)))
+    places = np.flatnonzero(np.isin(b, a))
+    if len(places) < fewest - 1:
         return out
     for gap in GAPS:
-        first, last = _stretches(places, gap)
-        for i in np.flatnonzero(places[last] - places[first] + 1 >= least):
-            start, end = int(places[first[i]]), int(places[last[i]])
-            if any(s <= end and start <= e for s, e, *_ in out):
+        for start, end in _stretches(places, gap, fewest):
+            start, end = _widened(start, end, least, len(b))
+            if end - start + 1 < least or any(s <= end and start <= e for s, e, *_ in out):
                 continue
-            mine = b[start : end + 1]
+            mine = np.unique(b[start : end + 1])
             there = np.flatnonzero(np.isin(a, mine))
-            f, t = _stretches(there, gap)
-            run = int(np.argmax(there[t] - there[f]))
-            low, high = int(there[f[run]]), int(there[t[run]])
-            if high - low + 1 < least:
-                continue
-            mine, theirs = np.unique(mine), np.unique(a[low : high + 1])
-            both = len(np.intersect1d(mine, theirs, assume_unique=True))
-            similar = both / (len(mine) + len(theirs) - both)
-            if similar >= MIN_SIMILARITY:
-                out.append((start, end, low, high, similar))
+            for low, high in sorted(_stretches(there, gap, fewest), key=lambda x: x[0] - x[1]):
+                low, high = _widened(low, high, least, len(a))
+                if high - low + 1 < least:
+                    continue
+                theirs = np.unique(a[low : high + 1])
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                similar = both / (len(mine) + len(theirs) - both)
+                if similar >= MIN_SIMILARITY:
+                    out.append((start, end, low, high, similar))
+                    break
     return out
 
 
@@ -234,71 +187,191 @@ def sequences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(key, match, start, end, match_start, match_end, similarity): passages that nearly repeat in another text.
-
-    Texts with equal bytes are one class: its smallest key stands for it, and each other key gets one row for its whole
-    text if that has ``least`` shingles. The windows of the classes meet by min-hash as ``partners`` says (pairs of class
-    representatives plus membership); pairs on which AGREE functions agree at one place are compared on the shingles,
-    and those of MIN_SIMILARITY are returned, ends in words, exclusive. A passage that very many texts hold is linked
-    to the first of them and to neighbours, which joins them all; its texts are not paired with each other.
-    Null, empty and short texts have no passage; rows with a null key take no part; rows of one key count once. No
-    rows, no rows; other columns are ignored.
-    """
-    docs = df.select(F.col(key).alias("key"), text_of(text).alias("text")).where("key IS NOT NULL")
-    ids = docs.select("key", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
-    classes = materialize(ids.groupBy("h", "m").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "passage-classes")
-    copies = ids.join(classes.where("n > 1"), ["h", "m"]).where("key <> rep").select("key", "rep")
-    copied = classes.where("n > 1").select(F.col("rep").alias("key"))
-    reps = _only(docs, copies.select("key"), "left_anti")
-    found = partners(window_rows(reps, least))
-    spots = F.collect_list(F.struct("k", "lo", "hi", "a_lo", "a_hi"))
-    pairs = found.groupBy("a", "b").agg(spots.alias("spots")).where(F.size(F.array_distinct("spots.k")) >= AGREE)
-    pairs = materialize(pairs, "passage-pairs")
+def _hit_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("key", kind), T.StructField("match", kind), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "match_start", "match_end")), T.StructField("similarity", T.DoubleType())])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, least: int, spots_agree: bool) -> DataFrame:
+    """Passages of the pairs (a, b, spots): spots are windows of functions that must agree, or places to be compared."""
     need = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    seqs = materialize(sequences(_only(docs, need)).dropDuplicates(["key"]), "passage-sequences")
+    seqs = materialize(sequences(only(docs, need)).dropDuplicates(["key"]), "passage-sequences")
     left = seqs.select(F.col("key").alias("a"), F.col("seq").alias("a_seq"))
     right = seqs.select(F.col("key").alias("b"), F.col("seq").alias("b_seq"))
     a_from, a_to = F.array_min(F.col("spots.a_lo")), F.array_max(F.col("spots.a_hi"))
     full = pairs.withColumn("a_from", a_from).withColumn("a_to", a_to).join(left, "a")
-    full = materialize(full.withColumn("a_seq", F.slice("a_seq", F.col("a_from") + 1, F.col("a_to") - F.col("a_from") + 1)).drop("a_to"), "passage-left").join(right, "b")
-    kind = docs.schema["key"].dataType
-    schema = T.StructType([T.StructField("key", kind), T.StructField("match", kind), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "match_start", "match_end")), T.StructField("similarity", T.DoubleType())])
-
-    def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        return np.asarray(column.offsets), column.values
+    full = full.withColumn("a_seq", F.slice("a_seq", F.col("a_from") + 1, F.col("a_to") - F.col("a_from") + 1)).drop("a_to").join(right, "b")
+    schema = _hit_schema(docs.schema["key"].dataType)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            spot_at, spots = lists(rows.column(2))
+            spot_at, spots = np.asarray(rows.column(2).offsets), rows.column(2).values
             k, lo, hi = (np.asarray(spots.field(i)) for i in range(3))
-            a_at, a_all = lists(rows.column(4))
-            b_at, b_all = lists(rows.column(5))
-            a_all, b_all, a_from = np.asarray(a_all), np.asarray(b_all), np.asarray(rows.column(3))
+            (a_at, a_all), (b_at, b_all) = ((np.asarray(rows.column(i).offsets), np.asarray(rows.column(i).values)) for i in (4, 5))
+            a_from = np.asarray(rows.column(3))
             out = []
             for i in range(rows.num_rows):
                 x = slice(spot_at[i], spot_at[i + 1])
                 a_seq, b_seq = a_all[a_at[i] : a_at[i + 1]], b_all[b_at[i] : b_at[i + 1]]
-                for start, end in agreeing(k[x], lo[x], hi[x], AGREE):
+                for start, end in agreeing(k[x], lo[x], hi[x], AGREE) if spots_agree else merged(lo[x], hi[x]):
                     for s, e, ms, me, similar in matches(a_seq, b_seq[start : end + 1], least):
                         out.append((i, start + s, start + e + 5, a_from[i] + ms, a_from[i] + me + 5, similar))
             if out:
                 at, *cols, similar = (np.array(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(at)), rows.column(0).take(pa.array(at)), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(similar)], names=schema.names)
 
-    hits = full.select("a", "b", "spots", "a_from", "a_seq", "b_seq").mapInArrow(verify, schema).distinct()
-    sizes = sequences(_only(docs, copied)).select("key", F.size("seq").alias("n")).where(F.col("n") >= least).dropDuplicates(["key"])
-    size = (F.col("n") + 4).cast("int")
-    zero = F.lit(0).cast("int")
-    whole = copies.join(sizes.withColumnRenamed("key", "rep"), "rep").select("key", F.col("rep").alias("match"), zero.alias("start"), size.alias("end"), zero.alias("match_start"), size.alias("match_end"), F.lit(1.0).alias("similarity"))
-    return hits.unionAll(whole)
+    return full.select("a", "b", "spots", "a_from", "a_seq", "b_seq").mapInArrow(verify, schema).distinct()
+
 
+def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
+    """(list, doc, comp, lo, hi): lists of documents of several components that AGREE (two) functions hold together.
 
-def _only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    A group all of whose documents are in one component is settled. Of the others, each document gives one entry for two
+    groups of different functions whose windows overlap by ``least`` shingles; two documents that agree twice at one
+    place meet in such a list. lo to hi is the stretch of the document that its open windows cover around the place. Of
+    lists with the same stretches one stays.
+    """
+    names = comp.select(F.col("node").alias("n"), "comp")
+    of = lambda rows, side: rows.join(sized(names), F.col(side) == F.col("n"), "left").withColumn(f"c{side}", F.coalesce("comp", side)).drop("n", "comp")
+    rows = materialize(of(of(star, "a"), "b"), "passage-star-comps")
+    # a group of two is settled by its one pair
+    unsettled = rows.groupBy("group").agg(F.count("*").alias("n"), F.max(F.col("ca") != F.col("cb")).alias("out")).where("n > 1 AND out").select("group")
+    rows = materialize(rows.join(sized(unsettled), "group", "left_semi"), "passage-open")
+    firsts = rows.groupBy("group").agg(*(F.first(c).alias(c) for c in ("a", "a_lo", "a_hi", "ca")))  # equal in all rows of a group
+    members = rows.select(F.col("b").alias("doc"), F.col("cb").alias("comp"), "group", "lo", "hi").unionAll(firsts.select("a", "ca", "group", "a_lo", "a_hi"))
+    per = members.groupBy("doc", "comp").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "group"))).alias("x"))
+    kind = star.schema["b"].dataType
+    schema = T.StructType([T.StructField("list", T.LongType()), T.StructField("doc", kind), T.StructField("comp", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, x = np.asarray(batch.column(2).offsets), batch.column(2).values
+            for d in range(batch.num_rows):
+                lo, hi, group = (np.asarray(x.field(i))[offsets[d] : offsets[d + 1]] for i in range(3))
+                group = group.view(np.uint64)
+                # windows come in order of lo; those that begin early enough for an overlap follow at once
+                n = np.maximum(np.searchsorted(lo, hi - least + 1, "right") - np.arange(len(lo)) - 1, 0)
+                i = np.repeat(np.arange(len(lo)), n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                ok = (np.minimum(hi[i], hi[j]) - lo[j] + 1 >= least) & ((group[i] ^ group[j]) & np.uint64(7) != 0)
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                spans = np.array(merged(lo, hi))
+                u, v = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+                both, once = np.unique(np.stack([finish(u * np.uint64(3) + finish(v)), np.searchsorted(spans[:, 0], lo[i], "right").astype(np.uint64) - np.uint64(1)]), axis=1, return_index=True)
+                at = both[1].astype(np.int64)
+                same = pa.array(np.full(len(at), d))
+                yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(spans[at, c].astype(np.int32)) for c in (0, 1))], names=schema.names)
+
+    lists = materialize(per.mapInArrow(combine, schema), "passage-lists")
+    seen = F.xxhash64("doc", "lo").cast("decimal(20,0)")
+    kept = lists.groupBy("list").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(seen).alias("s0"), F.sum(F.hash("doc", "lo").cast("long")).alias("s1"), F.sum(F.col("hi") - F.col("lo")).alias("shingles")).where("c0 <> c1")
+    kept = kept.groupBy("size", "s0", "s1").agg(F.min("list").alias("list"), F.first("shingles").alias("shingles"))
+    return materialize(lists.join(sized(materialize(kept.select("list", "size", "shingles"), "passage-kept")), "list"), "passage-meet")
+
+
+def list_hits(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Passages of documents of different components that share a list.
+
+    Short lists give their pairs, each pair once. Longer ones are cut into blocks by hash; two blocks that meet are a
+    group of their own, in which pairs of too few common shingles are passed over and those found are joined, until no
+    component grows.
+    """
+    short = lists.where(F.col("size") <= SHORT_LIST).select("list", "doc", "comp", "lo", "hi")
+    other = short.select("list", *(F.col(c).alias(f"a_{c}") for c in ("doc", "comp", "lo", "hi")))
+    pairs = short.join(other, "list").where((F.col("a_doc") < F.col("doc")) & (F.col("a_comp") != F.col("comp"))).select(F.col("a_doc").alias("a"), F.col("doc").alias("b"), "a_lo", "a_hi", "lo", "hi").distinct()
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.collect_list(F.struct(F.lit(0).alias("k"), "lo", "hi", "a_lo", "a_hi")).alias("spots")), "passage-more")
+    hits = verified(pairs, docs, least, False)
+    long = materialize(lists.where(F.col("size") > SHORT_LIST), "passage-long")
+    if not long.limit(1).count():
+        return hits
+    long = long.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    seqs = sequences(only(docs, long.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
+    mine = long.withColumn("mine", F.pmod(F.hash("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = mine.select("list", "doc", "comp", "lo", "hi", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
+    tiles = tiles.withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
+    schema = _hit_schema(docs.schema["key"].dataType)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc", "lo"], ignore_index=True)
+        cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
+        found = tile_hits(group["doc"].to_numpy(), group["comp"].to_numpy(), group["lo"].to_numpy(), [np.asarray(s, np.int32) for s in group["seq"]], cross, least)
+        return pd.DataFrame(found, columns=schema.names).astype({"key": group["doc"].dtype, "match": group["doc"].dtype, "similarity": float} | dict.fromkeys(("start", "end", "match_start", "match_end"), np.int32))
+
+    return hits.unionAll(tiles.groupBy("list", "x", "y").applyInPandas(compare, schema))
+
+
+def tile_hits(docs: np.ndarray, comps: np.ndarray, los: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | None, least: int) -> list[tuple]:
+    """Verified passages between documents of different components, as far as they join components."""
+    sets = [np.unique(s) for s in seqs]
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, cols, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    held = times[cols] > 1
+    rows, cols = rows[held], rank[cols[held]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(cols.max(initial=-1)) + 1, 4096):
+        part = (cols >= at) & (cols < at + 4096)
+        grid = np.zeros((len(sets), 4096), np.float32)
+        grid[rows[part], cols[part] - at] = 1
+        both += grid @ grid.T
+    ok = (both >= np.floor(2 * least * MIN_SIMILARITY / (1 + MIN_SIMILARITY))) & (comps[:, None] != comps[None, :])
+    if cross is not None:
+        ok &= cross[:, None] != cross[None, :]
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+        x, y = find(comps[i]), find(comps[j])
+        if x != y:
+            found = matches(seqs[i], seqs[j], least)
+            if found:
+                root[max(x, y)] = min(x, y)
+            out += [(docs[j], docs[i], los[j] + s, los[j] + e + 5, los[i] + ms, los[i] + me + 5, similar) for s, e, ms, me, similar in found]
+    return out
+
+
+def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(key, match, start, end, match_start, match_end, similarity, class_id): passages that nearly repeat in another text.
+
+    Ends are in words, exclusive; class_id is the smallest key that can be reached over rows, so it joins all documents
+    with a link to one of the class. Texts with equal bytes are one: the smallest key stands for them, and each other key
+    gets one row for its whole text if that has ``least`` shingles. Of the others, every window meets the first window
+    with its min-hash; pairs on which AGREE functions agree at one place are compared on the shingles. Where documents of
+    a min-hash are then still in several classes, all pairs of different classes that agree twice are compared, too
+    (``open_lists``), so no link between classes is left out; inside a class, only the pairs that made it are returned.
+    The rows do not hang on partitions or batches. Null, empty and short texts have no passage; rows with a null key take
+    no part; rows of one key count once. No rows, no rows; other columns are ignored.
+    """
+    docs = df.select(F.col(key).alias("key"), text_of(text).alias("text")).where("key IS NOT NULL")
+    ids = docs.select("key", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
+    classes = materialize(ids.groupBy("h", "m").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "passage-classes")
+    copies = materialize(ids.join(classes.where("n > 1"), ["h", "m"]).where("key <> rep").select("key", "rep").distinct(), "passage-copies")
+    reps = only(docs, copies.select("key"), "left_anti")
+    star = materialize(stars(window_rows(reps, least)), "passage-stars")
+    spots = F.collect_list(F.struct(F.col("group").bitwiseAND(F.lit(7)).cast("int").alias("k"), "lo", "hi", "a_lo", "a_hi"))
+    pairs = star.groupBy("a", "b").agg(spots.alias("spots")).where(F.size(F.array_distinct("spots.k")) >= AGREE)
+    hits = materialize(verified(materialize(pairs, "passage-pairs"), docs, least, True), "passage-hits")
+    lists = open_lists(star, components(hits, "key", "match"), least)
+    if lists.limit(1).count():
+        hits = hits.unionAll(materialize(list_hits(lists, docs, least), "passage-more-hits")).distinct()
+    sizes = sequences(only(docs, copies.select(F.col("rep").alias("key")))).select(F.col("key").alias("rep"), F.size("seq").alias("n")).where(F.col("n") >= least).dropDuplicates(["rep"])
+    size, zero = (F.col("n") + 4).cast("int"), F.lit(0).cast("int")
+    whole = copies.join(sizes, "rep").select("key", F.col("rep").alias("match"), zero.alias("start"), size.alias("end"), zero.alias("match_start"), size.alias("match_end"), F.lit(1.0).alias("similarity"))
+    out = materialize(hits.unionAll(whole), "passages")
+    comp = components(out, "key", "match").select(F.col("node").alias("key"), F.col("comp").alias("class_id"))
+    return out.join(sized(comp), "key")
+
+
+def only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose key is (not) among ``keys``; the keys are broadcast if they are counted to be few."""
     keys = keys.select(F.col("key").alias("only_key")).distinct()
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if small else keys, docs["key"] == F.col("only_key"), how)
+    return docs.join(sized(keys), docs["key"] == F.col("only_key"), how)
 
 
 def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
