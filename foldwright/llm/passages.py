@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sized, table, text_of
+from .common import join_counted, materialize, sized, table, text_of
 from .components import components
 from .kernels import chunks, finish, shingles, sliding_argmin
 
@@ -37,7 +37,8 @@ def compact_windows(values: np.ndarray, row_ends: np.ndarray, least: int) -> tup
 
     All passages inside [left, right] that hold c have c's value as min-hash. ``values`` must be 0 at ``row_ends``, which
     no other value is, so no node reaches over a row's end. A node spans ``least`` tokens just if it is the smallest of
-    one window of that width; its ends are found by doubling steps over minima of 2 ** j values.
+    one window of that width; its ends are found by doubling steps over minima of 2 ** j values. Of equal values, whose
+    windows lie inside each other, the first counts.
     """
     none = np.zeros(0, np.int64)
     low = sliding_argmin(values, least)
@@ -61,7 +62,9 @@ def compact_windows(values: np.ndarray, row_ends: np.ndarray, least: int) -> tup
         ok = at >= 0
         ok[ok] = mins[at[ok]] > own[ok]
         left[ok] -= size
-    return c, left, right
+    # right of an equal value, a window lies inside that value's own
+    own_first = values[np.maximum(left - 1, 0)] != own
+    return c[own_first], left[own_first], right[own_first]
 
 
 def window_rows(docs: DataFrame, least: int) -> DataFrame:
@@ -140,6 +143,11 @@ def _widened(start: int, end: int, least: int, size: int) -> tuple[int, int]:
     return start, min(size - 1, max(end, start + least - 1))
 
 
+def fewest_shared(least: int) -> int:
+    """Shingles that two passages of ``least`` shingles share at MIN_SIMILARITY."""
+    return int(np.ceil(2 * least * MIN_SIMILARITY / (1 + MIN_SIMILARITY)))
+
+
 def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of two shingle sequences: ends in b and in a (inclusive), and the exact Jaccard similarity.
 
@@ -148,8 +156,7 @@ def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int,
     are tried first; what they do not settle is tried again with shorter ones.
     """
     out: list[tuple[int, int, int, int, float]] = []
-    # two passages of ``least`` shingles share so many at MIN_SIMILARITY
-    fewest = int(np.ceil(2 * least * MIN_SIMILARITY / (1 + MIN_SIMILARITY)))
+    fewest = fewest_shared(least)
     places = np.flatnonzero(np.isin(b, a))
     if len(places) < fewest - 1:
         return out
@@ -258,53 +265,119 @@ def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
                     continue
                 spans = np.array(merged(lo, hi))
                 u, v = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
-                both, once = np.unique(np.stack([finish(u * np.uint64(3) + finish(v)), np.searchsorted(spans[:, 0], lo[i], "right").astype(np.uint64) - np.uint64(1)]), axis=1, return_index=True)
-                at = both[1].astype(np.int64)
+                name, region = finish(u * np.uint64(3) + finish(v)), np.searchsorted(spans[:, 0], lo[i], "right") - 1
+                once = np.unique(name ^ finish(region.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+                name, at = name[once], region[once]
                 same = pa.array(np.full(len(at), d))
-                yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(spans[at, c].astype(np.int32)) for c in (0, 1))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(spans[at, c].astype(np.int32)) for c in (0, 1))], names=schema.names)
 
     lists = materialize(per.mapInArrow(combine, schema), "passage-lists")
-    seen = F.xxhash64("doc", "lo").cast("decimal(20,0)")
-    kept = lists.groupBy("list").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(seen).alias("s0"), F.sum(F.hash("doc", "lo").cast("long")).alias("s1"), F.sum(F.col("hi") - F.col("lo")).alias("shingles")).where("c0 <> c1")
-    kept = kept.groupBy("size", "s0", "s1").agg(F.min("list").alias("list"), F.first("shingles").alias("shingles"))
-    return materialize(lists.join(sized(materialize(kept.select("list", "size", "shingles"), "passage-kept")), "list"), "passage-meet")
-
+    return distinct_lists(lists)
 
-def list_hits(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """Passages of documents of different components that share a list.
 
-    Short lists give their pairs, each pair once. Longer ones are cut into blocks by hash; two blocks that meet are a
-    group of their own, in which pairs of too few common shingles are passed over and those found are joined, until no
-    component grows.
-    """
-    short = lists.where(F.col("size") <= SHORT_LIST).select("list", "doc", "comp", "lo", "hi")
-    other = short.select("list", *(F.col(c).alias(f"a_{c}") for c in ("doc", "comp", "lo", "hi")))
-    pairs = short.join(other, "list").where((F.col("a_doc") < F.col("doc")) & (F.col("a_comp") != F.col("comp"))).select(F.col("a_doc").alias("a"), F.col("doc").alias("b"), "a_lo", "a_hi", "lo", "hi").distinct()
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.collect_list(F.struct(F.lit(0).alias("k"), "lo", "hi", "a_lo", "a_hi")).alias("spots")), "passage-more")
-    hits = verified(pairs, docs, least, False)
-    long = materialize(lists.where(F.col("size") > SHORT_LIST), "passage-long")
-    if not long.limit(1).count():
-        return hits
-    long = long.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    seqs = sequences(only(docs, long.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
-    mine = long.withColumn("mine", F.pmod(F.hash("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = mine.select("list", "doc", "comp", "lo", "hi", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
-    tiles = tiles.withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
-    schema = _hit_schema(docs.schema["key"].dataType)
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """``lists`` with their size, without those of one component; of lists of the same stretches the first stays."""
+    per = lists.groupBy("list").agg(
+        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc", "lo").cast("decimal(20,0)")).alias("s0"), F.sum(F.hash("doc", "lo").cast("long")).alias("s1")
+    )
+    kept = per.where("c0 <> c1").groupBy("size", "s0", "s1").agg(F.min("list").alias("list"))
+    return materialize(join_counted(lists, materialize(kept.select("list", "size"), "passage-kept"), "list", "size", lists.count()), "passage-meet")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc", "lo"], ignore_index=True)
-        cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
-        found = tile_hits(group["doc"].to_numpy(), group["comp"].to_numpy(), group["lo"].to_numpy(), [np.asarray(s, np.int32) for s in group["seq"]], cross, least)
-        return pd.DataFrame(found, columns=schema.names).astype({"key": group["doc"].dtype, "match": group["doc"].dtype, "similarity": float} | dict.fromkeys(("start", "end", "match_start", "match_end"), np.int32))
 
-    return hits.unionAll(tiles.groupBy("list", "x", "y").applyInPandas(compare, schema))
+def refined(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """The same as ``open_lists``, by single shingles: for the documents of long lists, such as those of a common line.
 
+    A token is a shingle and its how-manyeth in the stretch. Only tokens of several components can link two of them, and
+    linked stretches share ``fewest_shared`` tokens, so a stretch with fewer open tokens has no link, and else its link
+    shows in one of its tokens but the last fewest_shared - 1, the rare ones first (prefix filter). Lines shorter than a
+    passage so make no lists.
+    """
+    stretches = lists.select("doc", "comp", "lo", "hi").distinct()
+    seqs = sequences(only(docs, stretches.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
+    rows = stretches.join(seqs, "doc").withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
+    kind = lists.schema["doc"].dataType
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("doc", kind), T.StructField("comp", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
 
-def tile_hits(docs: np.ndarray, comps: np.ndarray, los: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | None, least: int) -> list[tuple]:
-    """Verified passages between documents of different components, as far as they join components."""
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, seq = np.asarray(batch.column(4).offsets), np.asarray(batch.column(4).values)
+            seq = seq[offsets[0] : offsets[-1]].astype(np.uint32).astype(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            order = np.lexsort((seq, row))
+            new = np.concatenate(([True], (seq[order][1:] != seq[order][:-1]) | (row[order][1:] != row[order][:-1])))[: len(order)]
+            turn = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            token = finish(seq[order] * np.uint64(1 << 32) + turn.astype(np.uint64)).view(np.int64)
+            at = pa.array(row[order])
+            yield pa.RecordBatch.from_arrays([pa.array(token), *(batch.column(i).take(at) for i in range(4))], names=schema.names)
+
+    every = materialize(rows.mapInArrow(tokens, schema), "passage-tokens")
+    where = ["doc", "comp", "lo", "hi"]
+
+    found = every.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    found = materialize(found.select("token", "size"), "passage-open-tokens")
+    held = join_counted(every, found, "token", "size", every.count()).groupBy(*where).agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("held"))
+    first = F.size("held") - (fewest_shared(least) - 1)
+    held = held.where(first > 0).select(*where, F.explode(F.slice("held.token", F.lit(1), first)).alias("token"))
+    return distinct_lists(materialize(held.withColumnRenamed("token", "list"), "passage-prefixes"))
+
+
+def with_largest(lists: DataFrame) -> DataFrame:
+    """``lists`` with their largest component ``top``, the documents outside it and the blocks that both parts fill."""
+    per = lists.groupBy("list", "comp").agg(F.count("*").alias("docs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("shingles"))
+    per = per.groupBy("list").agg(F.max(F.struct("docs", "comp", "shingles")).alias("top"), F.sum("docs").alias("size"), F.sum("shingles").alias("shingles"))
+    blocks = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    outside = F.col("size") - F.col("top.docs")
+    per = per.select("list", "size", F.col("top.comp").alias("top"), outside.alias("outside"), blocks(outside, F.col("shingles") - F.col("top.shingles")).alias("outer"), blocks(F.col("top.docs"), F.col("top.shingles")).alias("inner"))
+    return materialize(join_counted(lists.drop("size"), materialize(per, "passage-tops"), "list", "size", lists.count()), "passage-lists-top")
+
+
+def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """(a, b, spots) of documents of different components that share a list, each pair once.
+
+    Where few documents are outside a list's largest component, they are joined with the list. Other lists are refined;
+    those that then still have many are cut into blocks by hash, of which the outsiders' meet each other and the largest
+    component's. Two blocks are a group of their own, which gives only the pairs with shingles enough in common.
+    """
+    lists = with_largest(lists)
+    wide = F.col("outside") > SHORT_LIST
+    more = with_largest(refined(lists.where(wide), docs, least))
+    near = lists.where(~wide).unionByName(more.where(~wide))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "comp", "lo", "hi")]
+    outsiders = near.where(F.col("comp") != F.col("top")).select("list", *side("x"))
+    met = outsiders.join(near.select("list", *side("y")), "list").where((F.col("x_doc") != F.col("y_doc")) & (F.col("x_comp") != F.col("y_comp")))
+    low = F.col("x_doc") < F.col("y_doc")
+    pick = lambda c, first: F.when(low == F.lit(first), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
+    pairs = met.select(pick("doc", True).alias("a"), pick("doc", False).alias("b"), pick("lo", True).alias("a_lo"), pick("hi", True).alias("a_hi"), pick("lo", False).alias("lo"), pick("hi", False).alias("hi"))
+    long = more.where(wide)
+    if long.limit(1).count():
+        seqs = sequences(only(docs, long.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
+        outsider = F.col("comp") != F.col("top")
+        block = F.when(outsider, F.pmod(F.hash("doc"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.hash("doc"), F.col("inner")))
+        others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+        tiles = long.withColumn("mine", block).withColumn("other", F.explode(others))
+        tiles = tiles.select("list", "doc", "comp", "lo", "hi", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
+        tiles = tiles.withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
+        kind = docs.schema["key"].dataType
+        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.IntegerType()) for c in ("a_lo", "a_hi", "lo", "hi"))])
+
+        def compare(group: pd.DataFrame) -> pd.DataFrame:
+            cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
+            i, j = tile_pairs(group["comp"].to_numpy(), [np.asarray(s, np.int32) for s in group["seq"]], cross, least)
+            doc = group["doc"].to_numpy()
+            i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+            lo, hi = group["lo"].to_numpy(), group["hi"].to_numpy()
+            return pd.DataFrame({"a": doc[i], "b": doc[j], "a_lo": lo[i], "a_hi": hi[i], "lo": lo[j], "hi": hi[j]})
+
+        pairs = pairs.unionAll(tiles.groupBy("list", "x", "y").applyInPandas(compare, schema))
+    spots = F.collect_set(F.struct(F.lit(0).alias("k"), "lo", "hi", "a_lo", "a_hi"))
+    return materialize(pairs.groupBy("a", "b").agg(spots.alias("spots")), "passage-more-pairs")
+
+
+def tile_pairs(comps: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the stretches of different components that have shingles enough in common for a passage."""
     sets = [np.unique(s) for s in seqs]
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
     _, cols, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.cumsum(times > 1) - 1
     held = times[cols] > 1
@@ -315,25 +388,12 @@ def tile_hits(docs: np.ndarray, comps: np.ndarray, los: np.ndarray, seqs: list[n
         grid = np.zeros((len(sets), 4096), np.float32)
         grid[rows[part], cols[part] - at] = 1
         both += grid @ grid.T
-    ok = (both >= np.floor(2 * least * MIN_SIMILARITY / (1 + MIN_SIMILARITY))) & (comps[:, None] != comps[None, :])
+    # a shared shingle may stand for several in a repetitive stretch
+    plain = sizes == np.array([len(s) for s in seqs])
+    ok = ((both >= fewest_shared(least)) | ((both > 0) & ~(plain[:, None] & plain[None, :]))) & (comps[:, None] != comps[None, :])
     if cross is not None:
         ok &= cross[:, None] != cross[None, :]
-    root: dict = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-        x, y = find(comps[i]), find(comps[j])
-        if x != y:
-            found = matches(seqs[i], seqs[j], least)
-            if found:
-                root[max(x, y)] = min(x, y)
-            out += [(docs[j], docs[i], los[j] + s, los[j] + e + 5, los[i] + ms, los[i] + me + 5, similar) for s, e, ms, me, similar in found]
-    return out
+    return np.nonzero(np.triu(ok, 1))
 
 
 def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -359,7 +419,7 @@ def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     hits = materialize(verified(materialize(pairs, "passage-pairs"), docs, least, True), "passage-hits")
     lists = open_lists(star, components(hits, "key", "match"), least)
     if lists.limit(1).count():
-        hits = hits.unionAll(materialize(list_hits(lists, docs, least), "passage-more-hits")).distinct()
+        hits = hits.unionAll(materialize(verified(list_pairs(lists, docs, least), docs, least, False), "passage-more-hits")).distinct()
     sizes = sequences(only(docs, copies.select(F.col("rep").alias("key")))).select(F.col("key").alias("rep"), F.size("seq").alias("n")).where(F.col("n") >= least).dropDuplicates(["rep"])
     size, zero = (F.col("n") + 4).cast("int"), F.lit(0).cast("int")
     whole = copies.join(sizes, "rep").select("key", F.col("rep").alias("match"), zero.alias("start"), size.alias("end"), zero.alias("match_start"), size.alias("match_end"), F.lit(1.0).alias("similarity"))
