@@ -63,7 +63,7 @@ def compact_windows(values: np.ndarray, row_ends: np.ndarray, least: int) -> tup
         ok[ok] = mins[at[ok]] > own[ok]
         left[ok] -= size
     # right of an equal value, a window lies inside that value's own
-    own_first = values[np.maximum(left - 1, 0)] != own
+    own_first = (left == 0) | (values[left - 1] != own)
     return c[own_first], left[own_first], right[own_first]
 
 
@@ -234,8 +234,8 @@ def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
 
     A group all of whose documents are in one component is settled. Of the others, each document gives one entry for two
     groups of different functions whose windows overlap by ``least`` shingles; two documents that agree twice at one
-    place meet in such a list. lo to hi is the stretch of the document that its open windows cover around the place. Of
-    lists with the same stretches one stays.
+    place meet in such a list. lo to hi is the stretch of the document that both windows cover. Of lists with the same
+    stretches one stays.
     """
     names = comp.select(F.col("node").alias("n"), "comp")
     of = lambda rows, side: rows.join(sized(names), F.col(side) == F.col("n"), "left").withColumn(f"c{side}", F.coalesce("comp", side)).drop("n", "comp")
@@ -263,13 +263,12 @@ def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                spans = np.array(merged(lo, hi))
-                u, v = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
-                name, region = finish(u * np.uint64(3) + finish(v)), np.searchsorted(spans[:, 0], lo[i], "right") - 1
-                once = np.unique(name ^ finish(region.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-                name, at = name[once], region[once]
+                u, v, at, to = np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), lo[j], np.minimum(hi[i], hi[j])
+                name = finish(u * np.uint64(3) + finish(v))
+                once = np.unique(name ^ finish(at.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+                name, at, to = name[once], at[once], to[once]
                 same = pa.array(np.full(len(at), d))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(spans[at, c].astype(np.int32)) for c in (0, 1))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(c.astype(np.int32)) for c in (at, to))], names=schema.names)
 
     lists = materialize(per.mapInArrow(combine, schema), "passage-lists")
     return distinct_lists(lists)
@@ -278,7 +277,7 @@ def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
 def distinct_lists(lists: DataFrame) -> DataFrame:
     """``lists`` with their size, without those of one component; of lists of the same stretches the first stays."""
     per = lists.groupBy("list").agg(
-        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc", "lo").cast("decimal(20,0)")).alias("s0"), F.sum(F.hash("doc", "lo").cast("long")).alias("s1")
+        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc", "lo", "hi").cast("decimal(20,0)")).alias("s0"), F.sum(F.hash("doc", "lo", "hi").cast("long")).alias("s1")
     )
     kept = per.where("c0 <> c1").groupBy("size", "s0", "s1").agg(F.min("list").alias("list"))
     return materialize(join_counted(lists, materialize(kept.select("list", "size"), "passage-kept"), "list", "size", lists.count()), "passage-meet")
@@ -321,6 +320,15 @@ def refined(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     return distinct_lists(materialize(held.withColumnRenamed("token", "list"), "passage-prefixes"))
 
 
+def one_of_equals(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lists`` with one of the documents of a component whose stretches have the same words: the others link no more."""
+    seqs = sequences(only(docs, lists.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
+    words = lists.select("doc", "lo", "hi").distinct().join(seqs, "doc")
+    words = materialize(words.select("doc", "lo", "hi", F.xxhash64(F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("words")), "passage-words")
+    first = F.min(F.struct("doc", "lo", "hi")).alias("first")
+    return lists.join(words, ["doc", "lo", "hi"]).groupBy("list", "comp", "words").agg(first).select("list", "comp", "first.*")
+
+
 def with_largest(lists: DataFrame) -> DataFrame:
     """``lists`` with their largest component ``top``, the documents outside it and the blocks that both parts fill."""
     per = lists.groupBy("list", "comp").agg(F.count("*").alias("docs"), F.sum(F.col("hi") - F.col("lo") + 1).alias("shingles"))
@@ -328,7 +336,7 @@ def with_largest(lists: DataFrame) -> DataFrame:
     blocks = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(BLOCK), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
     outside = F.col("size") - F.col("top.docs")
     per = per.select("list", "size", F.col("top.comp").alias("top"), outside.alias("outside"), blocks(outside, F.col("shingles") - F.col("top.shingles")).alias("outer"), blocks(F.col("top.docs"), F.col("top.shingles")).alias("inner"))
-    return materialize(join_counted(lists.drop("size"), materialize(per, "passage-tops"), "list", "size", lists.count()), "passage-lists-top")
+    return materialize(join_counted(lists, materialize(per.where("outside > 0"), "passage-tops"), "list", "size", lists.count()), "passage-lists-top")
 
 
 def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -338,9 +346,9 @@ def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     those that then still have many are cut into blocks by hash, of which the outsiders' meet each other and the largest
     component's. Two blocks are a group of their own, which gives only the pairs with shingles enough in common.
     """
-    lists = with_largest(lists)
+    lists = with_largest(materialize(one_of_equals(lists, docs), "passage-once"))
     wide = F.col("outside") > SHORT_LIST
-    more = with_largest(refined(lists.where(wide), docs, least))
+    more = with_largest(refined(lists.where(wide), docs, least).drop("size"))
     near = lists.where(~wide).unionByName(more.where(~wide))
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "comp", "lo", "hi")]
     outsiders = near.where(F.col("comp") != F.col("top")).select("list", *side("x"))
