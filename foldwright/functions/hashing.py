@@ -32,8 +32,9 @@ def columns_hash(columns: list[str]) -> str:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """SHA-256 of a row over its columns in order of name; null is told from every text."""
-    cell = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~"))
+    """SHA-256 of a row over its columns in order of name; null is told from every text, and no text holds the separator."""
+    plain = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\x1f"), F.lit("\\u"))
+    cell = lambda c: F.coalesce(F.concat(F.lit("="), plain(F.col(f"`{c}`").cast("string"))), F.lit("~"))
     return F.sha2(F.concat_ws("\x1f", *map(cell, sorted(df.columns))), 256)
 
 

@@ -66,16 +66,27 @@ class Registry:
             router.encoder.encodings.write.mode("overwrite").parquet(f"{base_path}/encodings")
             prior = router.encoder.prior
         self._write(f"{problem}/manifests/{version}", settings | {"problem": problem, "version": version, "family": cfg.family, "metric": task.metric, "best_iteration": trained.best_iteration, "routes": router.routes, "prior": prior, "features_hash": columns_hash(task.features.columns), "value": trial["value"], "entropy_hex": trial["attrs"]["entropy_hex"]})
-        self._write(f"{problem}/champion", {"version": version, "at": datetime.now(UTC).isoformat()})
+        self._crown(problem, version)
         return version
 
+    def _crown(self, problem: str, version: str) -> None:
+        """Add a line to the problem's champions: what was there stays, so a crash leaves the champion before."""
+        line = json.dumps({"at": datetime.now(UTC).isoformat(timespec="microseconds"), "version": version}, sort_keys=True)
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/{problem}/champion")
+
     def champion(self, problem: str) -> str:
-        return self._read(f"{problem}/champion")["version"]
+        """The version crowned last; FileNotFoundError if there is none."""
+        try:
+            return json.loads(self.spark.read.text(f"{self.root}/{problem}/champion").agg({"value": "max"}).first()[0])["version"]
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                raise FileNotFoundError(f"{self.root}/{problem}/champion") from e
+            raise
 
     def rollback(self, problem: str, version: str) -> None:
         """Make an earlier version the champion; FileNotFoundError if it has no manifest."""
         self._read(f"{problem}/manifests/{version}")
-        self._write(f"{problem}/champion", {"version": version, "at": datetime.now(UTC).isoformat()})
+        self._crown(problem, version)
 
     def versions(self, problem: str) -> list[str]:
         """The last versions, newest first."""

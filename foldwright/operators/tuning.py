@@ -182,7 +182,7 @@ def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str
     """Run trials until the study has ``n_trials``; each is appended to the log, so a search that ended goes on.
 
     Every trial runs as a job group named by its study and number, so it can be cancelled alone. The plan's frame is
-    kept for the folds. A trial that raises is logged as FAIL and the error goes on.
+    kept for the folds. A trial that raises or is interrupted is logged as FAIL and the error goes on.
     """
     from dataclasses import replace
 
@@ -194,7 +194,7 @@ def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str
         seeds = trial_seeds(master, number)
         history = [(t["params"], sign * t["value"]) for t in done if t["state"] == "COMPLETE"]
         params = draw(sampler, space, history, seeds.sampler_seed, n_startup)
-        cfg, scores, state = replace(base or ModelConfig(), **params), [], "COMPLETE"
+        cfg, scores, state = replace(base or ModelConfig(), **params), [], "FAIL"
         context.setJobGroup(f"{study}/{number}", f"trial {number} of {study}", interruptOnCancel=True)
         best = None
         try:
@@ -204,12 +204,13 @@ def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str
                 if i + 1 < plan.n_splits and prunes(pruner, scores, [t["scores"] for t in done if t["state"] == "COMPLETE"], maximize):
                     state = "PRUNED"
                     break
-        except Exception:
-            state = "FAIL"
-            raise
+            else:
+                state = "COMPLETE"
         finally:
             trial = {"study_name": study, "trial_number": number, "state": state, "value": fmean(scores) if scores else None, "scores": scores, "params": params, "attrs": {"metric": task.metric, "entropy_hex": seeds.entropy_hex, **({"best_iteration": str(best)} if best is not None else {})}}
             trials.append(trial)
             done.append(trial)
+            if state == "FAIL":
+                plan.frame.unpersist()
     plan.frame.unpersist()
     return trials.frame(study)

@@ -193,3 +193,18 @@ def test_search_promote_score_and_rollback(spark, tmp_path):
         registry.promote("p", trial | {"state": "PRUNED"}, sides["train"], sides["val"], task, base)
     with pytest.raises(KeyError):
         trials.load("p_s", 99)
+
+
+def test_interrupted_trial_is_no_best(spark, tmp_path):
+    df = spark.range(30).select("id", F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    plan = cv.k_fold(df, ["id"], 3, seed=1)
+    trials = Trials(spark, f"{tmp_path}/log")
+
+    def stopped(plan, i, *_):
+        if i:
+            raise KeyboardInterrupt
+        return 0.99, 1
+
+    with pytest.raises(KeyboardInterrupt):
+        search(plan, Task(Features(("x",), ()), "y", "auc", ("id",)), {"max_depth": Range(2, 3, whole=True)}, trials, "s", 1, objective=stopped, sampler="random")
+    assert trials.load("s", 0)["state"] == "FAIL"
