@@ -17,7 +17,8 @@ STAGES = [
     ("sharding", sharding.shard_stage),
 ]
 
-#: Models, sketches and hashed samples are not expressible in SQL; the stages are tested against brute force.
+#: Models, sketches and hashed samples are not expressible in SQL. Near-duplicates are tested against brute force and
+#: decontamination against planted items; toxicity, mixing and sharding by their properties; the chain as a whole is not.
 ORACLE_SQL = None
 
 
