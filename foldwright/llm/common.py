@@ -57,14 +57,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldwright/{label}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in WRITING}
-    before = {k: v for k, v in before.items() if v is not None}
     try:
-        for k in before:
-            spark.conf.set(k, WRITING[k])
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

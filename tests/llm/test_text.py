@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from foldwright.llm import chat, decontaminate, mixing, near_dedup, passages, quality, repeats, revisits, sharding, toxicity
+from foldwright.llm import chat, common, decontaminate, mixing, near_dedup, passages, quality, repeats, revisits, sharding, toxicity
 
 DOCS = "doc_id long, text string, source string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -236,3 +236,21 @@ def test_repeats_digest_matches_text(spark):
     docs = spark.createDataFrame([(1, "abc", "a")], DOCS)
     row = repeats.remove_repeats(docs).first()
     assert hashlib.sha256(bytes(row.kept)).hexdigest() == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_tables_are_written_with_their_settings_and_the_session_keeps_its_own(spark):
+    seen = []
+
+    class Frame:
+        sparkSession, schema = spark, spark.range(1).schema
+
+        class write:
+            @staticmethod
+            def parquet(path):
+                seen.append({k: spark.conf.get(k) for k in common.WRITING})
+                spark.range(1).write.parquet(path)
+
+    before = {k: spark.conf.get(k, None) for k in common.WRITING}
+    assert common.materialize(Frame, "settings").count() == 1
+    assert seen == [common.WRITING]
+    assert before == {k: spark.conf.get(k, None) for k in common.WRITING}
