@@ -204,29 +204,31 @@ def verified(pairs: DataFrame, docs: DataFrame, least: int, spots_agree: bool) -
     seqs = materialize(sequences(only(docs, need)).dropDuplicates(["key"]), "passage-sequences")
     left = seqs.select(F.col("key").alias("a"), F.col("seq").alias("a_seq"))
     right = seqs.select(F.col("key").alias("b"), F.col("seq").alias("b_seq"))
-    a_from, a_to = F.array_min(F.col("spots.a_lo")), F.array_max(F.col("spots.a_hi"))
-    full = pairs.withColumn("a_from", a_from).withColumn("a_to", a_to).join(left, "a")
-    full = full.withColumn("a_seq", F.slice("a_seq", F.col("a_from") + 1, F.col("a_to") - F.col("a_from") + 1)).drop("a_to").join(right, "b")
+    ends = {"a_from": F.array_min(F.col("spots.a_lo")), "a_to": F.array_max(F.col("spots.a_hi")), "b_from": F.array_min(F.col("spots.lo")), "b_to": F.array_max(F.col("spots.hi"))}
+    # only the stretches that the spots cover are shuffled and compared
+    cut = lambda side: F.slice(f"{side}_seq", F.col(f"{side}_from") + 1, F.col(f"{side}_to") - F.col(f"{side}_from") + 1)
+    full = pairs.withColumns(ends).join(left, "a").withColumn("a_seq", cut("a")).join(right, "b").withColumn("b_seq", cut("b"))
     schema = _hit_schema(docs.schema["key"].dataType)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             spot_at, spots = np.asarray(rows.column(2).offsets), rows.column(2).values
             k, lo, hi = (np.asarray(spots.field(i)) for i in range(3))
-            (a_at, a_all), (b_at, b_all) = ((np.asarray(rows.column(i).offsets), np.asarray(rows.column(i).values)) for i in (4, 5))
-            a_from = np.asarray(rows.column(3))
+            (a_at, a_all), (b_at, b_all) = ((np.asarray(rows.column(i).offsets), np.asarray(rows.column(i).values)) for i in (5, 6))
+            a_from, b_from = np.asarray(rows.column(3)), np.asarray(rows.column(4))
             out = []
             for i in range(rows.num_rows):
                 x = slice(spot_at[i], spot_at[i + 1])
                 a_seq, b_seq = a_all[a_at[i] : a_at[i + 1]], b_all[b_at[i] : b_at[i + 1]]
                 for start, end in agreeing(k[x], lo[x], hi[x], AGREE) if spots_agree else merged(lo[x], hi[x]):
-                    for s, e, ms, me, similar in matches(a_seq, b_seq[start : end + 1], least):
+                    own = b_seq[start - b_from[i] : end + 1 - b_from[i]]
+                    for s, e, ms, me, similar in matches(a_seq, own, least):
                         out.append((i, start + s, start + e + 5, a_from[i] + ms, a_from[i] + me + 5, similar))
             if out:
                 at, *cols, similar = (np.array(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(at)), rows.column(0).take(pa.array(at)), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(similar)], names=schema.names)
 
-    return full.select("a", "b", "spots", "a_from", "a_seq", "b_seq").mapInArrow(verify, schema).distinct()
+    return full.select("a", "b", "spots", "a_from", "b_from", "a_seq", "b_seq").mapInArrow(verify, schema).distinct()
 
 
 def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
