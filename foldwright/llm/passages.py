@@ -30,6 +30,8 @@ GAPS = (12, 5, 0)
 SHORT_LIST = 32
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 18
+#: Pairs of one list that a task compares at once; a list of more is dealt over several groups.
+TILE_PAIRS = 2048
 
 
 def compact_windows(values: np.ndarray, row_ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,6 +168,9 @@ def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int,
             if end - start + 1 < least or any(s <= end and start <= e for s, e, *_ in out):
                 continue
             mine = np.unique(b[start : end + 1])
+            # the similarity is at most the share of this side's shingles that the other one holds
+            if np.searchsorted(places, end, "right") - np.searchsorted(places, start) < MIN_SIMILARITY * len(mine):
+                continue
             there = np.flatnonzero(np.isin(a, mine))
             for low, high in sorted(_stretches(there, gap, fewest), key=lambda x: x[0] - x[1]):
                 low, high = _widened(low, high, least, len(a))
@@ -198,8 +203,8 @@ def _hit_schema(kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("key", kind), T.StructField("match", kind), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "match_start", "match_end")), T.StructField("similarity", T.DoubleType())])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: int, spots_agree: bool) -> DataFrame:
-    """Passages of the pairs (a, b, spots): spots are windows of functions that must agree, or places to be compared."""
+def verified(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Passages of the pairs (a, b, spots), where the windows of AGREE functions in spots agree."""
     need = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
     seqs = materialize(sequences(only(docs, need)).dropDuplicates(["key"]), "passage-sequences")
     left = seqs.select(F.col("key").alias("a"), F.col("seq").alias("a_seq"))
@@ -220,7 +225,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: int, spots_agree: bool) -
             for i in range(rows.num_rows):
                 x = slice(spot_at[i], spot_at[i + 1])
                 a_seq, b_seq = a_all[a_at[i] : a_at[i + 1]], b_all[b_at[i] : b_at[i + 1]]
-                for start, end in agreeing(k[x], lo[x], hi[x], AGREE) if spots_agree else merged(lo[x], hi[x]):
+                for start, end in agreeing(k[x], lo[x], hi[x], AGREE):
                     own = b_seq[start - b_from[i] : end + 1 - b_from[i]]
                     for s, e, ms, me, similar in matches(a_seq, own, least):
                         out.append((i, start + s, start + e + 5, a_from[i] + ms, a_from[i] + me + 5, similar))
@@ -342,7 +347,10 @@ def with_largest(lists: DataFrame) -> DataFrame:
 
 
 def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(a, b, spots) of documents of different components that share a list, each pair once.
+    """(list, far, a, b, a_from, a_to, spots) of documents of different components that share a list, each pair once.
+
+    Of the pair's lists the first is given, and ``far`` is the document that the list's outsider met. The places to be
+    compared are a_from to a_to of a, and the spots of b, as lo * 2 ** 32 + hi.
 
     Where few documents are outside a list's largest component, they are joined with the list. Other lists are refined;
     those that then still have many are cut into blocks by hash, of which the outsiders' meet each other and the largest
@@ -357,7 +365,7 @@ def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     met = outsiders.join(near.select("list", *side("y")), "list").where((F.col("x_doc") != F.col("y_doc")) & (F.col("x_comp") != F.col("y_comp")))
     low = F.col("x_doc") < F.col("y_doc")
     pick = lambda c, first: F.when(low == F.lit(first), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
-    pairs = met.select(pick("doc", True).alias("a"), pick("doc", False).alias("b"), pick("lo", True).alias("a_lo"), pick("hi", True).alias("a_hi"), pick("lo", False).alias("lo"), pick("hi", False).alias("hi"))
+    pairs = met.select("list", F.col("y_doc").alias("far"), pick("doc", True).alias("a"), pick("doc", False).alias("b"), pick("lo", True).alias("a_lo"), pick("hi", True).alias("a_hi"), pick("lo", False).alias("lo"), pick("hi", False).alias("hi"))
     long = more.where(wide)
     if long.limit(1).count():
         seqs = sequences(only(docs, long.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
@@ -368,7 +376,7 @@ def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
         tiles = tiles.select("list", "doc", "comp", "lo", "hi", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
         tiles = tiles.withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
         kind = docs.schema["key"].dataType
-        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.IntegerType()) for c in ("a_lo", "a_hi", "lo", "hi"))])
+        schema = T.StructType([T.StructField("list", T.LongType()), T.StructField("far", kind), T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.IntegerType()) for c in ("a_lo", "a_hi", "lo", "hi"))])
 
         def compare(group: pd.DataFrame) -> pd.DataFrame:
             cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
@@ -376,15 +384,55 @@ def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
             doc = group["doc"].to_numpy()
             i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
             lo, hi = group["lo"].to_numpy(), group["hi"].to_numpy()
-            return pd.DataFrame({"a": doc[i], "b": doc[j], "a_lo": lo[i], "a_hi": hi[i], "lo": lo[j], "hi": hi[j]})
+            # the pairs of a tile stay together
+            tile = int(group["list"].iat[0]) ^ (int(group["x"].iat[0]) << 32 | int(group["y"].iat[0]))
+            return pd.DataFrame({"list": np.full(len(i), tile, np.int64), "far": doc[j], "a": doc[i], "b": doc[j], "a_lo": lo[i], "a_hi": hi[i], "lo": lo[j], "hi": hi[j]})
 
         pairs = pairs.unionAll(tiles.groupBy("list", "x", "y").applyInPandas(compare, schema))
-    spots = F.collect_set(F.struct(F.lit(0).alias("k"), "lo", "hi", "a_lo", "a_hi"))
-    return materialize(pairs.groupBy("a", "b").agg(spots.alias("spots")), "passage-more-pairs")
+    spot = F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")
+    per = pairs.groupBy("a", "b").agg(F.min(F.struct("list", "far")).alias("at"), F.min("a_lo").alias("a_from"), F.max("a_hi").alias("a_to"), F.collect_set(spot).alias("spots"))
+    return materialize(per.select("at.list", "at.far", "a", "b", "a_from", "a_to", "spots"), "passage-more-pairs")
 
 
-def tile_pairs(comps: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the stretches of different components that have shingles enough in common for a passage."""
+def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Passages of the pairs of ``list_pairs``, compared list by list.
+
+    A document's shingles go once to each group of TILE_PAIRS pairs of a list, not once to each pair: pairs grow with the
+    product of a list's outsiders and members, what is shuffled with their sum. Pairs with too few shingles in common
+    fall out by one matrix product a group.
+    """
+    per = pairs.groupBy("list").agg(F.ceil(F.count("*") / F.lit(TILE_PAIRS)).cast("int").alias("blocks"))
+    pairs = materialize(pairs.join(sized(materialize(per, "passage-blocks")), "list").withColumn("block", F.pmod(F.hash("far"), F.col("blocks"))).drop("far", "blocks"), "passage-tiles")
+    spots = lambda f, part: f(F.transform("spots", part)).cast("int")
+    first, last = spots(F.array_min, lambda x: F.shiftright(x, 32)), spots(F.array_max, lambda x: x.bitwiseAND(F.lit(2**32 - 1)))
+    ends = pairs.select("list", "block", F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).unionAll(pairs.select("list", "block", "b", first, last))
+    ends = materialize(ends.groupBy("list", "block", "doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "passage-members")
+    seqs = sequences(only(docs, ends.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
+    members = ends.join(seqs, "doc").select("list", "block", "doc", "lo", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("seq"))
+    schema = _hit_schema(docs.schema["key"].dataType)
+
+    def compare(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Index(members["doc"])
+        lo, seqs = members["lo"].to_numpy(), [np.asarray(x, np.int32) for x in members["seq"]]
+        i, j = at.get_indexer(pairs["a"]), at.get_indexer(pairs["b"])
+        a_from, a_to, spots = pairs["a_from"].to_numpy(), pairs["a_to"].to_numpy(), pairs["spots"].to_numpy()
+        out = []
+        for n in np.flatnonzero(may_match(seqs, least)[i, j]):
+            a_seq = seqs[i[n]][a_from[n] - lo[i[n]] : a_to[n] - lo[i[n]] + 1]
+            spot = np.asarray(spots[n], np.int64)
+            for start, end in merged(spot >> 32, spot & (2**32 - 1)):
+                for s, e, ms, me, similar in matches(a_seq, seqs[j[n]][start - lo[j[n]] : end - lo[j[n]] + 1], least):
+                    out.append((n, start + s, start + e + 5, a_from[n] + ms, a_from[n] + me + 5, similar))
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        of = np.array(cols[0], np.int64)
+        ends = dict(zip(("start", "end", "match_start", "match_end"), (np.array(c, np.int32) for c in cols[1:5]), strict=True))
+        return pd.DataFrame({"key": pairs["b"].to_numpy()[of], "match": pairs["a"].to_numpy()[of], **ends, "similarity": np.array(cols[5], float)})
+
+    return pairs.groupBy("list", "block").cogroup(members.groupBy("list", "block")).applyInPandas(compare, schema).distinct()
+
+
+def may_match(seqs: list[np.ndarray], least: int) -> np.ndarray:
+    """Whether each two stretches have shingles enough in common for a passage."""
     sets = [np.unique(s) for s in seqs]
     sizes = np.array([len(s) for s in sets])
     rows = np.repeat(np.arange(len(sets)), sizes)
@@ -400,7 +448,12 @@ def tile_pairs(comps: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | No
         both += grid @ grid.T
     # a shared shingle may stand for several in a repetitive stretch
     plain = sizes == np.array([len(s) for s in seqs])
-    ok = ((both >= fewest_shared(least)) | ((both > 0) & ~(plain[:, None] & plain[None, :]))) & (comps[:, None] != comps[None, :])
+    return (both >= fewest_shared(least)) | ((both > 0) & ~(plain[:, None] & plain[None, :]))
+
+
+def tile_pairs(comps: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the stretches of different components that have shingles enough in common for a passage."""
+    ok = may_match(seqs, least) & (comps[:, None] != comps[None, :])
     if cross is not None:
         ok &= cross[:, None] != cross[None, :]
     return np.nonzero(np.triu(ok, 1))
@@ -426,10 +479,10 @@ def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     star = materialize(stars(window_rows(reps, least)), "passage-stars")
     spots = F.collect_list(F.struct(F.col("group").bitwiseAND(F.lit(7)).cast("int").alias("k"), "lo", "hi", "a_lo", "a_hi"))
     pairs = star.groupBy("a", "b").agg(spots.alias("spots")).where(F.size(F.array_distinct("spots.k")) >= AGREE)
-    hits = materialize(verified(materialize(pairs, "passage-pairs"), docs, least, True), "passage-hits")
+    hits = materialize(verified(materialize(pairs, "passage-pairs"), docs, least), "passage-hits")
     lists = open_lists(star, components(hits, "key", "match"), least)
     if lists.limit(1).count():
-        hits = hits.unionAll(materialize(verified(list_pairs(lists, docs, least), docs, least, False), "passage-more-hits")).distinct()
+        hits = hits.unionAll(materialize(tile_hits(list_pairs(lists, docs, least), docs, least), "passage-more-hits")).distinct()
     sizes = sequences(only(docs, copies.select(F.col("rep").alias("key")))).select(F.col("key").alias("rep"), F.size("seq").alias("n")).where(F.col("n") >= least).dropDuplicates(["rep"])
     size, zero = (F.col("n") + 4).cast("int"), F.lit(0).cast("int")
     whole = copies.join(sizes, "rep").select("key", F.col("rep").alias("match"), zero.alias("start"), size.alias("end"), zero.alias("match_start"), size.alias("match_end"), F.lit(1.0).alias("similarity"))
