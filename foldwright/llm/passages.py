@@ -150,16 +150,16 @@ def fewest_shared(least: int) -> int:
     return int(np.ceil(2 * least * MIN_SIMILARITY / (1 + MIN_SIMILARITY)))
 
 
-def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int, int, float]]:
+def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST, kind: str | None = None) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of two shingle sequences: ends in b and in a (inclusive), and the exact Jaccard similarity.
 
     Stretches of b whose shingles occur in a are set against the stretches of a that hold these shingles, the longest
     first, until one is similar enough. Stretches may end in changed words, up to ``least`` shingles. Those with long gaps
-    are tried first; what they do not settle is tried again with shorter ones.
+    are tried first; what they do not settle is tried again with shorter ones. ``kind`` is that of ``np.isin``.
     """
     out: list[tuple[int, int, int, int, float]] = []
     fewest = fewest_shared(least)
-    places = np.flatnonzero(np.isin(b, a))
+    places = np.flatnonzero(np.isin(b, a, kind=kind))
     if len(places) < fewest - 1:
         return out
     for gap in GAPS:
@@ -171,7 +171,7 @@ def matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int,
             # the similarity is at most the share of this side's shingles that the other one holds
             if np.searchsorted(places, end, "right") - np.searchsorted(places, start) < MIN_SIMILARITY * len(mine):
                 continue
-            there = np.flatnonzero(np.isin(a, mine))
+            there = np.flatnonzero(np.isin(a, mine, kind=kind))
             for low, high in sorted(_stretches(there, gap, fewest), key=lambda x: x[0] - x[1]):
                 low, high = _widened(low, high, least, len(a))
                 if high - low + 1 < least:
@@ -414,6 +414,9 @@ def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     def compare(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         at = pd.Index(members["doc"])
         lo, seqs = members["lo"].to_numpy(), [np.asarray(x, np.int32) for x in members["seq"]]
+        # small numbers in place of hashes, so that members are looked up in a table
+        codes = np.unique(np.concatenate(seqs), return_inverse=True)[1]
+        seqs = np.split(codes, np.cumsum([len(x) for x in seqs])[:-1])
         i, j = at.get_indexer(pairs["a"]), at.get_indexer(pairs["b"])
         a_from, a_to, spots = pairs["a_from"].to_numpy(), pairs["a_to"].to_numpy(), pairs["spots"].to_numpy()
         out = []
@@ -421,7 +424,7 @@ def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
             a_seq = seqs[i[n]][a_from[n] - lo[i[n]] : a_to[n] - lo[i[n]] + 1]
             spot = np.asarray(spots[n], np.int64)
             for start, end in merged(spot >> 32, spot & (2**32 - 1)):
-                for s, e, ms, me, similar in matches(a_seq, seqs[j[n]][start - lo[j[n]] : end - lo[j[n]] + 1], least):
+                for s, e, ms, me, similar in matches(a_seq, seqs[j[n]][start - lo[j[n]] : end - lo[j[n]] + 1], least, "table"):
                     out.append((n, start + s, start + e + 5, a_from[n] + ms, a_from[n] + me + 5, similar))
         cols = list(zip(*out, strict=True)) if out else [()] * 6
         of = np.array(cols[0], np.int64)
