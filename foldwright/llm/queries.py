@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dedup, passages, quality, repeats, revisits, sharding, toxicity
+from . import chat, decontaminate, infill, mixing, near_dedup, passages, pieces, quality, ranked, repeats, revisits, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_feistel_shards": sharding.op9_feistel_shards,
     "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
+    "op11_threshold_search": ranked.op11_threshold_search,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_piece_round_trip": pieces.op13_piece_round_trip,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op4_bottomk_near_dedup": near_dedup.OP4_SQL,
     "op5_relational_chat": chat.OP5_SQL,
     "op10_spaced_seeds": decontaminate.OP10_SQL,
+    "op11_threshold_search": ranked.OP11_SQL,
+    "op12_fill_in_middle": infill.OP12_SQL,
 }
