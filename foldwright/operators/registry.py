@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, replace
+from dataclasses import asdict
 from datetime import UTC, datetime
 
 from pyspark.ml import PipelineModel
@@ -16,8 +16,9 @@ from ..functions.hashing import columns_hash, settings_hash
 from ..functions.metrics import holdout_stats, metric_of, score
 from .features import FeatureRouter, Features, TargetEncoder
 from .runs import provenance_gaps
+from .samplers import seeds_from_hex
 from .training import ModelConfig, Trained, fit
-from .tuning import Task, seeds_from_hex
+from .tuning import Task, with_params
 
 KEPT_VERSIONS = 10
 _MODELS = {"gbt": (GBTRegressionModel, GBTClassificationModel), "forest": (RandomForestRegressionModel, RandomForestClassificationModel)}
@@ -52,7 +53,7 @@ class Registry:
         gaps = provenance_gaps(trial)
         if trial["state"] != "COMPLETE" or gaps:
             raise ValueError(f"trial {trial['trial_number']} is {trial['state']} and lacks {gaps}")
-        cfg = replace(base or ModelConfig(), **trial["params"])
+        cfg = with_params(base or ModelConfig(), trial["params"])
         router = FeatureRouter(task.features, task.y, task.threshold, metric_of(task.metric).classifies)
         x = router.fit_transform(train, list(task.keys)) if task.oof and task.features.categorical else router.fit(train).transform(train)
         trained = fit(x, task.features, task.y, cfg, task.metric, seeds_from_hex(trial["attrs"]["entropy_hex"]).model_seed, router.transform(valid))

@@ -1,158 +1,27 @@
-"""Seeded hyperparameter searches over a split plan: spaces, samplers, pruners and the fold-mean objective."""
+"""Seeded hyperparameter searches over a split plan: the fold-mean objective, its trials and their log."""
 
 from __future__ import annotations
 
-import math
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
-from itertools import product
-from statistics import fmean, median
+from dataclasses import dataclass, replace
+from datetime import UTC, datetime
+from statistics import fmean
+from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from ..functions.metrics import metric_of, score
 from ..plans.cv import SplitPlan
+from .artifacts import Artifacts, metrics_dict
 from .features import FeatureRouter, Features
+from .jobs import FoldRun, TrialTimeout
+from .pruners import PRUNERS, prunes, signed_rank_p
 from .runs import Trials
+from .samplers import SAMPLERS, Choice, Range, SeedBag, Space, draw, seeds_from_hex, trial_seeds
 from .training import ModelConfig, fit
 
-
-@dataclass(frozen=True)
-class SeedBag:
-    entropy_hex: str
-    split_seed: int
-    cv_seed: int
-    sampler_seed: int
-    model_seed: int
-
-
-def seeds_from_hex(entropy_hex: str) -> SeedBag:
-    """The four 31-bit seeds of a trial, from its recorded entropy alone."""
-    children = np.random.SeedSequence(int(entropy_hex, 16)).spawn(4)
-    return SeedBag(entropy_hex, *(int(c.generate_state(1)[0]) & 0x7FFFFFFF for c in children))
-
-
-def trial_seeds(master: int | None, trial: int) -> SeedBag:
-    """Seeds of a trial of a study; two trials of one master differ, and one trial is the same in every run."""
-    words = np.random.SeedSequence(master, spawn_key=(trial,)).generate_state(4)
-    return seeds_from_hex(f"{int.from_bytes(words.astype('<u4').tobytes(), 'little'):032x}")
-
-
-@dataclass(frozen=True)
-class Range:
-    """A float or whole-number parameter; ``log`` samples its logarithm."""
-
-    low: float
-    high: float
-    log: bool = False
-    whole: bool = False
-
-    def unit(self, value: float) -> float:
-        lo, hi, x = (math.log(v) if self.log else float(v) for v in (self.low, self.high, value))
-        return (x - lo) / ((hi - lo) or 1.0)
-
-    def value(self, unit: float) -> float | int:
-        lo, hi = (math.log(v) if self.log else float(v) for v in (self.low, self.high))
-        x = lo + min(max(unit, 0.0), 1.0) * (hi - lo)
-        x = math.exp(x) if self.log else x
-        return int(min(max(round(x), self.low), self.high)) if self.whole else x
-
-
-@dataclass(frozen=True)
-class Choice:
-    options: tuple
-
-
-Space = dict[str, Range | Choice]
-
-
-def draw_random(space: Space, rng: np.random.Generator) -> dict:
-    return {k: p.value(rng.random()) if isinstance(p, Range) else p.options[int(rng.integers(len(p.options)))] for k, p in space.items()}
-
-
-def draw_tpe(space: Space, history: list[tuple[dict, float]], rng: np.random.Generator, n_startup: int = 20, candidates: int = 24) -> dict:
-    """Tree-structured Parzen estimator: candidates near the best quarter, ranked by good over bad density, all
-    parameters of a candidate together. ``history`` holds values to be minimised."""
-    if len(history) < n_startup:
-        return draw_random(space, rng)
-    ranked = [h for h, _ in sorted(history, key=lambda h: h[1])]
-    n_good = max(1, math.ceil(0.25 * math.sqrt(len(ranked)) * 2))
-    good, bad = ranked[:n_good], ranked[n_good:] or ranked
-
-    def density(x: dict, past: list[dict]) -> float:
-        width = max(0.05, len(past) ** -0.2 * 0.3)
-        total = 1e-12
-        for h in past:
-            p = 1.0
-            for k, s in space.items():
-                if isinstance(s, Range):
-                    p *= math.exp(-0.5 * ((s.unit(x[k]) - s.unit(h[k])) / width) ** 2) / width
-                else:
-                    p *= (1.0 + (x[k] == h[k]) * len(s.options)) / (2 * len(s.options))
-            total += p
-        return total / len(past)
-
-    def near() -> dict:
-        h, free = good[int(rng.integers(len(good)))], draw_random(space, rng)
-        return {k: s.value(s.unit(h[k]) + rng.normal(0, 0.15)) if isinstance(s, Range) else (h[k] if rng.random() < 0.7 else free[k]) for k, s in space.items()}
-
-    return max((near() for _ in range(candidates)), key=lambda x: density(x, good) / density(x, bad))
-
-
-SAMPLERS = ("random", "tpe")
-
-
-def draw(sampler: str, space: Space, history: list[tuple[dict, float]], seed: int, n_startup: int = 20) -> dict:
-    if sampler not in SAMPLERS:
-        raise ValueError(f"unknown sampler {sampler!r}; built in: {SAMPLERS}")
-    rng = np.random.default_rng(seed)
-    return draw_random(space, rng) if sampler == "random" else draw_tpe(space, history, rng, n_startup)
-
-
-def signed_rank_p(diffs: list[float]) -> float:
-    """One-sided p of the Wilcoxon signed-rank test that the differences lie above 0: zeros are left out, ties share
-    mid-ranks; exact up to 12 values, normal beyond."""
-    d = [x for x in diffs if x]
-    if not d:
-        return 1.0
-    size = sorted(abs(x) for x in d)
-    ranks = [(size.index(abs(x)) + 1 + len(size) - size[::-1].index(abs(x))) / 2 for x in d]
-    plus = sum(r for r, x in zip(ranks, d, strict=True) if x > 0)
-    if len(d) <= 12:
-        sums = [sum(r for r, s in zip(ranks, signs, strict=True) if s) for signs in product((0, 1), repeat=len(d))]
-        return sum(s >= plus for s in sums) / len(sums)
-    sd = math.sqrt(sum(r * r for r in ranks) / 4)
-    return 0.5 * math.erfc((plus - sum(ranks) / 2 - 0.5) / sd / math.sqrt(2))
-
-
-PRUNERS = ("none", "median", "wilcoxon", "successive_halving", "hyperband")
-
-
-def prunes(pruner: str, scores: list[float], others: list[list[float]], maximize: bool, n_startup: int = 5) -> bool:
-    """Whether a trial with these fold scores ends here. ``others``: fold scores of the finished trials.
-
-    median: the mean so far is worse than the median of theirs at this fold. wilcoxon: after two folds, the scores are
-    worse than the best trial's at p < 0.1. successive_halving and hyperband: at folds 1, 2, 4, ... the trial is not in
-    the better half (hyperband: the better three quarters).
-    """
-    if pruner not in PRUNERS:
-        raise ValueError(f"unknown pruner {pruner!r}; known: {PRUNERS}")
-    sign, k = (-1 if maximize else 1), len(scores)
-    mine = [sign * s for s in scores]
-    past = [[sign * s for s in o[:k]] for o in others if len(o) >= k]
-    if pruner == "none" or not past or not k:
-        return False
-    if pruner == "wilcoxon":
-        best = min((o for o in others if len(o) >= k), key=lambda o: sign * fmean(o))
-        return k >= 2 and signed_rank_p([m - sign * b for m, b in zip(mine, best[:k], strict=True)]) < 0.1
-    if len(past) < (n_startup if pruner == "median" else 2):
-        return False
-    means = sorted(fmean(o) for o in past)
-    if pruner == "median":
-        return fmean(mine) > median(means)
-    share = 0.5 if pruner == "successive_halving" else 0.75
-    return k & (k - 1) == 0 and fmean(mine) > means[min(len(means) - 1, int(share * len(means)))]
+__all__ = ["PRUNERS", "SAMPLERS", "Choice", "FoldScore", "Range", "SeedBag", "Space", "Task", "draw", "fold_score", "prunes", "search", "seeds_from_hex", "signed_rank_p", "trial_seeds"]
 
 
 @dataclass(frozen=True)
@@ -167,7 +36,13 @@ class Task:
     oof: bool = True
 
 
-def fold_score(plan: SplitPlan, i: int, task: Task, cfg: ModelConfig, seed: int) -> tuple[float, int | None]:
+class FoldScore(NamedTuple):
+    score: float
+    best_iteration: int | None = None
+    row_count: int = 0
+
+
+def fold_score(plan: SplitPlan, i: int, task: Task, cfg: ModelConfig, seed: int) -> FoldScore:
     """Score of split i: features are fitted on its train side alone; the test side ends the boosting early."""
     drop = [c for c in ("pos", "fold") if c in plan.frame.columns]
     train, test = plan.side(i, "train").drop(*drop), plan.side(i, "test").drop(*drop)
@@ -175,42 +50,79 @@ def fold_score(plan: SplitPlan, i: int, task: Task, cfg: ModelConfig, seed: int)
     x = router.fit_transform(train, list(task.keys)) if task.oof and task.features.categorical else router.fit(train).transform(train)
     held = router.transform(test)
     trained = fit(x, task.features, task.y, cfg, task.metric, seed, held)
-    return score(trained.predict(held, task.y), task.metric, task.y, "prediction"), trained.best_iteration
+    return FoldScore(score(trained.predict(held, task.y), task.metric, task.y, "prediction"), trained.best_iteration, train.count())
 
 
-def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str, n_trials: int, base: ModelConfig | None = None, sampler: str = "tpe", pruner: str = "median", master: int | None = 0, n_startup: int = 20, objective: Callable = fold_score) -> DataFrame:
-    """Run trials until the study has ``n_trials``; each is appended to the log, so a search that ended goes on.
+def with_params(base: ModelConfig, params: dict) -> ModelConfig:
+    """The model settings with a trial's parameters; names may be paths below ``training``, others go to ``model_kwargs``."""
+    names = {k.removeprefix("training."): v for k, v in params.items()}
+    known = {k: v for k, v in names.items() if k in ModelConfig.__dataclass_fields__}
+    extra = {k.removeprefix("model_kwargs."): v for k, v in names.items() if k not in known}
+    return replace(base, **known, **({"model_kwargs": base.model_kwargs | extra} if extra else {}))
 
-    Every trial runs as a job group named by its study and number, so it can be cancelled alone. The plan's frame is
-    kept for the folds. A trial that raises or is interrupted is logged as FAIL and the error goes on.
-    """
-    from dataclasses import replace
 
-    maximize, sign = metric_of(task.metric).maximize, -1 if metric_of(task.metric).maximize else 1
+def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str, n_trials: int, base: ModelConfig | None = None, sampler: str = "tpe", pruner: str = "median", master: int | None = 0, n_startup: int = 20, objective: Callable = fold_score, timeout: float | None = None, folds_at_once: int = 1, provenance: dict | None = None, artifacts: Artifacts | None = None) -> DataFrame:
+    """Run waiting trials, then new ones until the study has ``n_trials``; every step is a row of the log.
+
+    A trial is RUNNING from its start to its last row, so what an earlier driver left running is FAIL when a search of
+    the study begins again; the search then goes on where that one ended. Waiting trials keep their parameters. The jobs
+    of a trial are a group named by its study and number: after ``timeout`` seconds they are cancelled, the trial is FAIL
+    and the next one starts. A trial that raises or is interrupted is FAIL, too, and the error goes on. Up to
+    ``folds_at_once`` folds run at a time over one kept frame; scores and pruning do not depend on it, as folds are judged
+    in order. ``provenance`` goes to every trial's attributes; finished trials leave their metrics and folds in
+    ``artifacts``.
+    """
+    maximize = metric_of(task.metric).maximize
+    sign, spark = -1 if maximize else 1, plan.frame.sparkSession
     plan = SplitPlan(plan.frame.persist(), plan.n_splits, plan.train, plan.test)
-    context = plan.frame.sparkSession.sparkContext
-    done = trials.of_study(study)
-    for number in range(len(done), n_trials):
-        seeds = trial_seeds(master, number)
-        history = [(t["params"], sign * t["value"]) for t in done if t["state"] == "COMPLETE"]
-        params = draw(sampler, space, history, seeds.sampler_seed, n_startup)
-        cfg, scores, state = replace(base or ModelConfig(), **params), [], "FAIL"
-        context.setJobGroup(f"{study}/{number}", f"trial {number} of {study}", interruptOnCancel=True)
-        best = None
-        try:
-            for i in range(plan.n_splits):
-                value, best = objective(plan, i, task, cfg, seeds.model_seed)
-                scores.append(value)
-                if i + 1 < plan.n_splits and prunes(pruner, scores, [t["scores"] for t in done if t["state"] == "COMPLETE"], maximize):
-                    state = "PRUNED"
-                    break
+    try:
+        trials.fail_running(study)
+        known = {t["trial_number"]: t for t in trials.of_study(study)}
+        while True:
+            waiting = min((n for n, t in known.items() if t["state"] == "WAITING"), default=None)
+            if waiting is None and len(known) >= n_trials:
+                return trials.frame(study)
+            number = max(known, default=-1) + 1 if waiting is None else waiting
+            seeds = trial_seeds(master, number)
+            complete = [t for t in known.values() if t["state"] == "COMPLETE"]
+            if waiting is None:
+                params = draw(sampler, space, [(t["params"], sign * t["value"]) for t in complete], seeds.sampler_seed, n_startup)
             else:
-                state = "COMPLETE"
-        finally:
-            trial = {"study_name": study, "trial_number": number, "state": state, "value": fmean(scores) if scores else None, "scores": scores, "params": params, "attrs": {"metric": task.metric, "entropy_hex": seeds.entropy_hex, **({"best_iteration": str(best)} if best is not None else {})}}
+                params = known[number]["params"]
+            attrs = {"metric": task.metric, "entropy_hex": seeds.entropy_hex, **(provenance or {}), **(known[number]["attrs"] if waiting is not None else {})}
+            trial = {"study_name": study, "trial_number": number, "state": "RUNNING", "value": None, "scores": [], "params": params, "attrs": attrs}
             trials.append(trial)
-            done.append(trial)
-            if state == "FAIL":
-                plan.frame.unpersist()
-    plan.frame.unpersist()
-    return trials.frame(study)
+            trial = trial | {"state": "FAIL", "scores": [], "attrs": dict(attrs)}
+            cfg, folds = with_params(base or ModelConfig(), params), []
+
+            def run(i: int, cfg: ModelConfig = cfg, seed: int = seeds.model_seed) -> tuple[FoldScore, float]:
+                began = time.monotonic()
+                return FoldScore(*objective(plan, i, task, cfg, seed)), time.monotonic() - began
+
+            results = iter(FoldRun(spark, f"{study}/{number}", plan.n_splits, run, folds_at_once, timeout))
+            try:
+                for i, (found, seconds) in enumerate(results):
+                    trial["scores"].append(found.score)
+                    folds.append({"fold_idx": i, "row_count": found.row_count, "fit_seconds": seconds, "timestamp": datetime.now(UTC).isoformat(timespec="seconds")})
+                    if found.best_iteration is not None:
+                        trial["attrs"]["best_iteration"] = found.best_iteration
+                    peers = {n: t["scores"] for n, t in known.items() if n < number}
+                    if i + 1 < plan.n_splits and prunes(pruner, trial["scores"], [t["scores"] for t in complete], maximize, number=number, n_folds=plan.n_splits, peers=peers):
+                        trial["state"] = "PRUNED"
+                        break
+                else:
+                    trial["state"] = "COMPLETE"
+            except TrialTimeout:
+                trial["attrs"]["error"] = f"stopped after {timeout:g} seconds"
+            except BaseException as e:
+                trial["attrs"]["error"] = f"{type(e).__name__}: {e}"[:500]
+                raise
+            finally:
+                results.close()
+                trial["value"] = fmean(trial["scores"]) if trial["scores"] else None
+                trials.append(trial)
+                known[number] = trial
+            if artifacts is not None and trial["state"] == "COMPLETE":
+                artifacts.upload(trial, metrics_dict(task.metric, trial["scores"]), folds)
+    finally:
+        plan.frame.unpersist()

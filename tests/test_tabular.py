@@ -160,7 +160,7 @@ def test_seeds_samplers_and_pruners():
     assert signed_rank_p([1.0, 2.0, 3.0, 4.0]) == 1 / 16
     assert prunes("median", [9.0], [[1.0]] * 5, maximize=False) and not prunes("none", [9.0], [[1.0]] * 5, maximize=False)
     with pytest.raises(ValueError):
-        draw("gp", space, [], 0)
+        draw("nope", space, [], 0)
     assert best_of([3, 2, 2.5, 2.6, 1], 2) == 1
     with pytest.raises(ImportError):
         make_estimator(ModelConfig("lightgbm"), "auc")
