@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import file_digests
+
 #: Hex digits of a row hash that name its bucket: 65,536 buckets, so a bucket of 10 ** 11 rows holds 100 MB of hashes.
 BUCKET_DIGITS = 4
 
@@ -51,20 +53,27 @@ def logical_hash(df: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, digest) of the Parquet files under a path, each read whole by a task of its own."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    """(file, bytes, digest) of the Parquet files under a path, by ranges of them that tasks read; no size is too large."""
+    return file_digests(spark, path)
 
 
 def bytes_hash(spark: SparkSession, path: str) -> str:
     """Hash of the sorted digests of the files: names and order do not matter, layout does."""
-    row = file_hashes(spark, path).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("h")).first()
-    return row.h
+    return digests_hash(file_hashes(spark, path))
+
+
+def digests_hash(files: DataFrame) -> str:
+    return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("h")).first().h
+
+
+def data_hash(hashes: dict) -> str:
+    """The bytes and the logical hash of a dataset as one text: what the version id is the digest of."""
+    return f"{hashes['bytes_hash']}|{hashes['logical_hash']}"
 
 
 def dataset_hashes(spark: SparkSession, path: str) -> dict:
     """bytes_hash, logical_hash, version_id, row_count and schema (names sorted) of a Parquet dataset."""
     df = spark.read.parquet(path)
     out = {"bytes_hash": bytes_hash(spark, path), "logical_hash": logical_hash(df).first().logical_hash}
-    out["version_id"] = sha256_text(f"{out['bytes_hash']}|{out['logical_hash']}")[:16]
+    out["version_id"] = sha256_text(data_hash(out))[:16]
     return out | {"row_count": df.count(), "schema": dict(sorted(df.dtypes))}
