@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
+from functools import partial
 from statistics import fmean
 from typing import NamedTuple
 
@@ -61,7 +62,12 @@ def with_params(base: ModelConfig, params: dict) -> ModelConfig:
     return replace(base, **known, **({"model_kwargs": base.model_kwargs | extra} if extra else {}))
 
 
-def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str, n_trials: int, base: ModelConfig | None = None, sampler: str = "tpe", pruner: str = "median", master: int | None = 0, n_startup: int = 20, objective: Callable = fold_score, timeout: float | None = None, folds_at_once: int = 1, provenance: dict | None = None, artifacts: Artifacts | None = None) -> DataFrame:
+def _timed(objective: Callable, plan: SplitPlan, task: Task, cfg: ModelConfig, seed: int, i: int) -> tuple[FoldScore, float]:
+    began = time.monotonic()
+    return FoldScore(*objective(plan, i, task, cfg, seed)), time.monotonic() - began
+
+
+def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str, n_trials: int, base: ModelConfig | None = None, sampler: str = "tpe", pruner: str = "median", master: int | None = 0, n_startup: int = 20, objective: Callable = fold_score, timeout: float | None = None, folds_at_once: int = 1, provenance: dict | None = None, artifacts: Artifacts | None = None, resolve: Callable[[dict], tuple[Task, ModelConfig]] | None = None) -> DataFrame:
     """Run waiting trials, then new ones until the study has ``n_trials``; every step is a row of the log.
 
     A trial is RUNNING from its start to its last row, so what an earlier driver left running is FAIL when a search of
@@ -70,7 +76,7 @@ def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str
     and the next one starts. A trial that raises or is interrupted is FAIL, too, and the error goes on. Up to
     ``folds_at_once`` folds run at a time over one kept frame; scores and pruning do not depend on it, as folds are judged
     in order. ``provenance`` goes to every trial's attributes; finished trials leave their metrics and folds in
-    ``artifacts``.
+    ``artifacts``. ``resolve`` makes task and model of a trial's parameters, if they are not those of the model alone.
     """
     maximize = metric_of(task.metric).maximize
     sign, spark = -1 if maximize else 1, plan.frame.sparkSession
@@ -93,14 +99,11 @@ def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str
             trial = {"study_name": study, "trial_number": number, "state": "RUNNING", "value": None, "scores": [], "params": params, "attrs": attrs}
             trials.append(trial)
             trial = trial | {"state": "FAIL", "scores": [], "attrs": dict(attrs)}
-            cfg, folds = with_params(base or ModelConfig(), params), []
-
-            def run(i: int, cfg: ModelConfig = cfg, seed: int = seeds.model_seed) -> tuple[FoldScore, float]:
-                began = time.monotonic()
-                return FoldScore(*objective(plan, i, task, cfg, seed)), time.monotonic() - began
-
-            results = iter(FoldRun(spark, f"{study}/{number}", plan.n_splits, run, folds_at_once, timeout))
+            folds, results = [], iter(())
             try:
+                own, cfg = resolve(params) if resolve else (task, with_params(base or ModelConfig(), params))
+                run = partial(_timed, objective, plan, own, cfg, seeds.model_seed)
+                results = iter(FoldRun(spark, f"{study}/{number}", plan.n_splits, run, folds_at_once, timeout))
                 for i, (found, seconds) in enumerate(results):
                     trial["scores"].append(found.score)
                     folds.append({"fold_idx": i, "row_count": found.row_count, "fit_seconds": seconds, "timestamp": datetime.now(UTC).isoformat(timespec="seconds")})
@@ -118,7 +121,8 @@ def search(plan: SplitPlan, task: Task, space: Space, trials: Trials, study: str
                 trial["attrs"]["error"] = f"{type(e).__name__}: {e}"[:500]
                 raise
             finally:
-                results.close()
+                if isinstance(results, Generator):
+                    results.close()
                 trial["value"] = fmean(trial["scores"]) if trial["scores"] else None
                 trials.append(trial)
                 known[number] = trial
