@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .kernels import chunks
 
 #: The whitespace marker of SentencePiece; spaces become markers, and a text gets one in front.
 MARK = "▁"
 #: Bytes of text that are cut into words at once (a longer text is taken whole).
-WORD_CHUNK = 1 << 22
+WORD_CHUNK = 1 << 20
 #: Distinct words, and code points of them, beyond which a task's table starts anew.
-TABLE_WORDS = 1_000_000
-TABLE_CHARS = 1 << 25
+TABLE_WORDS = 250_000
+TABLE_CHARS = 1 << 23
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -144,7 +144,11 @@ def decode(df: DataFrame, ids: str = "ids", name: str = "decoded", model: bytes
 
 
 def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number and digest of every document's ids, and the digest of the text decoded from them."""
+    """Number and digest of every document's ids, and the digest of the text decoded from them.
+
+    The digests are written as a table, in small Arrow batches, and read again.
+    """
     out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return materialize(out, "piece-digests")
