@@ -34,9 +34,14 @@ def columns_hash(columns: list[str]) -> str:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """SHA-256 of a row over its columns in order of name; null is told from every text, and no text holds the separator."""
+    """SHA-256 of a row over its columns in order of name; null is told from every text, and no text holds the separator.
+
+    Points in time count by their microseconds, so the session's time zone does not matter.
+    """
+    kinds = dict(df.dtypes)
+    text = lambda c: (F.unix_micros(F.col(f"`{c}`")) if kinds[c] == "timestamp" else F.col(f"`{c}`")).cast("string")
     plain = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\x1f"), F.lit("\\u"))
-    cell = lambda c: F.coalesce(F.concat(F.lit("="), plain(F.col(f"`{c}`").cast("string"))), F.lit("~"))
+    cell = lambda c: F.coalesce(F.concat(F.lit("="), plain(text(c))), F.lit("~"))
     return F.sha2(F.concat_ws("\x1f", *map(cell, sorted(df.columns))), 256)
 
 

@@ -48,6 +48,13 @@ def route(counts: dict[str, int], columns: list[str], threshold: int | None) ->
     return {c: "passthrough" if counts.get(c, 0) <= threshold else "encode" for c in columns}
 
 
+def routes(df: DataFrame, columns: list[str], threshold: int | None) -> DataFrame:
+    """(column, route): the rule of ``route`` over the counted values of a frame's columns."""
+    if threshold is None:
+        raise ValueError("the cardinality threshold has no default")
+    return cardinalities(df, columns).select("column", F.when(F.col("cardinality") <= threshold, "passthrough").otherwise("encode").alias("route"))
+
+
 def smoothed(total: Column, n: Column, prior: Column) -> Column:
     """The mean of a category drawn to the prior by 1 / (1 + exp(-(n - MIN_SAMPLES) / SMOOTHING))."""
     weight = 1 / (1 + F.exp(-(n - F.lit(MIN_SAMPLES)) / F.lit(SMOOTHING)))
@@ -88,6 +95,11 @@ class TargetEncoder:
         self.encodings = stats.select("column", "value", smoothed(F.col("s"), F.col("n"), F.lit(self.prior)).alias("enc")).persist()
         return self
 
+    def release(self) -> None:
+        """Let go of the kept encodings; they are computed anew where they are still needed."""
+        if self.encodings is not None:
+            self.encodings.unpersist()
+
     def transform(self, df: DataFrame) -> DataFrame:
         if self.encodings is None:
             raise ValueError("the encoder is not fitted")
@@ -103,7 +115,7 @@ def out_of_fold(df: DataFrame, columns: list[str], y: str, plan: SplitPlan | Non
     own fold's. A category seen in no other fold gets the prior of the other folds.
     """
     df = plan.frame if plan else df
-    by_fold = category_stats(df, columns, y, fold).persist()
+    by_fold = category_stats(df, columns, y, fold)
     total = by_fold.groupBy("column", "value").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     first = by_fold.where(F.col("column") == columns[0])
     all_ = first.agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
@@ -137,8 +149,8 @@ class FeatureRouter:
         cats = list(self.features.categorical)
         self.routes = {}
         if cats:
-            counts = {r["column"]: r.cardinality for r in cardinalities(df, cats).collect()}  # a row a column
-            self.routes = route(counts, cats, self.threshold)
+            self.routes = {r["column"]: r.route for r in routes(df, cats, self.threshold).collect()}  # a row a column
+            self.routes = {c: self.routes.get(c, "passthrough") for c in cats}  # a frame without rows has no counts
         encoded = [c for c in cats if self.routes[c] == "encode"]
         self.encoder = TargetEncoder(encoded, self.y).fit(df) if encoded else None
         return self
@@ -146,6 +158,10 @@ class FeatureRouter:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.encoder.transform(df) if self.encoder else df
 
+    def release(self) -> None:
+        if self.encoder:
+            self.encoder.release()
+
     def fit_transform(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Training rows, encoded out of fold, so that no row's own target is in its features."""
         self.fit(df)

@@ -50,8 +50,11 @@ def fold_score(plan: SplitPlan, i: int, task: Task, cfg: ModelConfig, seed: int)
     router = FeatureRouter(task.features, task.y, task.threshold, metric_of(task.metric).classifies)
     x = router.fit_transform(train, list(task.keys)) if task.oof and task.features.categorical else router.fit(train).transform(train)
     held = router.transform(test)
-    trained = fit(x, task.features, task.y, cfg, task.metric, seed, held)
-    return FoldScore(score(trained.predict(held, task.y), task.metric, task.y, "prediction"), trained.best_iteration, train.count())
+    try:
+        trained = fit(x, task.features, task.y, cfg, task.metric, seed, held)
+        return FoldScore(score(trained.predict(held, task.y), task.metric, task.y, "prediction"), trained.best_iteration, train.count())
+    finally:
+        router.release()
 
 
 def with_params(base: ModelConfig, params: dict) -> ModelConfig:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -89,32 +88,50 @@ def stratified_k_fold(df: DataFrame, y: str | None, keys: list[str], n_splits: i
     return _by_fold(out.withColumn("fold", fold).drop("_class", "_start", "_upto"), n_splits)
 
 
+def dealt_runs(runs: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int, list[int]]]:
+    """How the greedy rule deals groups to folds: (size, first place, folds in turn) of stretches of equal groups.
+
+    ``runs`` has the sizes of groups, largest first, with how many groups have each. Each group goes into the lightest
+    fold (the lowest of equals). Among groups of one size, the folds that lie less than a size above the lightest take
+    turns, in order of their loads, until the lightest has come so near to a heavier fold that this one joins; so a run
+    of equal groups, however long, is at most ``n_splits`` stretches of turns.
+    """
+    loads, out, at = [0] * n_splits, [], 0
+    for size, left in runs:
+        while left:
+            turn = sorted(range(n_splits), key=lambda i: (loads[i], i))
+            low = loads[turn[0]]
+            heavy = [i for i in turn if loads[i] >= low + size]
+            turn = turn[: n_splits - len(heavy)]
+            rounds = min((loads[heavy[0]] - low) // size if heavy else left, -(-left // len(turn)))
+            n = min(left, rounds * len(turn))
+            out.append((size, at, turn))
+            for k, i in enumerate(turn):
+                loads[i] += size * (n // len(turn) + (k < n % len(turn)))
+            at, left = at + n, left - n
+    return out
+
+
 def group_k_fold(df: DataFrame, group: str | None, n_splits: int = 5) -> SplitPlan:
     """Folds that never part a group: groups by falling size, then key, each into the lightest fold (lowest of equals).
 
-    Up to BROADCAST_ROWS groups are dealt so; beyond it, the rest of the groups, all of them no larger, is dealt in
-    turns of its size order, which keeps the folds as level.
+    One rule at every size: only the distinct sizes of groups reach the driver (of n rows, fewer than the root of 2 n),
+    which finds in what turns they are dealt; each group then takes its fold from its place in the order.
     """
     if group is None:
         raise ValueError("grouped folds need a group column")
     need(df, group)
     sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
-    largest = [F.col("_size").desc(), F.col("_group").asc_nulls_first()]
-    top = sizes.orderBy(*largest).limit(BROADCAST_ROWS).collect()
-    _enough(len(top), n_splits)
-    heap = [(0, i) for i in range(n_splits)]
-    dealt = []
-    for row in top:
-        load, fold = heapq.heappop(heap)
-        dealt.append((row._group, fold))
-        heapq.heappush(heap, (load + row._size, fold))
-    folds = df.sparkSession.createDataFrame(dealt, T.StructType([T.StructField("_group", df.schema[group].dataType), T.StructField("fold", T.IntegerType())]))
-    joined = F.broadcast(folds)
-    if len(top) == BROADCAST_ROWS:
-        rest = sizes.join(F.broadcast(folds), sizes["_group"].eqNullSafe(folds["_group"]), "left_anti")
-        rest, _ = with_pos(rest, [-F.col("_size"), F.col("_group")])
-        joined = folds.unionAll(rest.select("_group", (F.col("pos") % n_splits).cast("int")))
-    out = df.join(joined, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    runs = [(r._size, r.n) for r in sizes.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()]
+    _enough(sum(n for _, n in runs), n_splits)
+    turns: dict[int, list] = {}
+    for size, at, folds in dealt_runs(runs, n_splits):
+        turns.setdefault(size, []).append((at, folds))
+    dealt = df.sparkSession.createDataFrame(list(turns.items()), "_size long, _turns array<struct<at:long,folds:array<int>>>")
+    places, _ = with_pos(sizes, [-F.col("_size"), F.col("_group")])
+    own = places.join(sized(dealt), "_size").withColumn("_turn", F.element_at(F.filter("_turns", lambda t: t["at"] <= F.col("pos")), -1))
+    fold = F.get("_turn.folds", ((F.col("pos") - F.col("_turn.at")) % F.size("_turn.folds")).cast("int"))
+    out = df.join(sized(own.select("_group", fold.alias("fold"))), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     return _by_fold(out, n_splits)
 
 

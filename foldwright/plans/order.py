@@ -109,7 +109,15 @@ def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> Da
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """The median of the values that are not null, as the mean of the middle one or two; None without values."""
-    out, n = with_pos(df.select(col).where(F.col(col).isNotNull()), [F.col(col)])
-    row = out.where(F.col("pos").between((n - 1) // 2, n // 2)).agg(F.avg(col).alias("m")).first()
-    return None if row is None else row.m
+    """The median of the values that are not null, as the mean of the middle one or two; None without values.
+
+    Equal values are counted before they are ordered, so values that many rows share meet in no task.
+    """
+    by = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    n = by.agg(F.sum("n").alias("n")).first().n
+    if not n:
+        return None
+    by = running_sum(by, [F.col("value")], "n", "below")
+    holds = lambda place: (F.col("below") <= place) & (F.col("below") + F.col("n") > place)
+    middle = F.when(holds((n - 1) // 2), F.col("value")), F.when(holds(n // 2), F.col("value"))
+    return by.agg(((F.max(middle[0]) + F.max(middle[1])) / 2).alias("m")).first().m

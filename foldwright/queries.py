@@ -153,7 +153,7 @@ def cardinalities(spark, sf_dir):
 
 
 def encoder_routing(spark, sf_dir):
-    return cardinalities(spark, sf_dir).select("column", F.when(F.col("cardinality") <= 30, "passthrough").otherwise("encode").alias("route"))
+    return features.routes(_t(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size", "p_name"], 30)
 
 
 def select_features(spark, sf_dir):
@@ -181,7 +181,7 @@ def target_encode_oof(spark, sf_dir):
 
 
 def logical_hash(spark, sf_dir):
-    return hashing.logical_hash(_t(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return hashing.logical_hash(_t(spark, sf_dir, "orders"))
 
 
 def _scored(spark, sf_dir):
@@ -212,6 +212,18 @@ def holdout_stats(spark, sf_dir):
 # runs and models
 
 
+def holdout_times(spark, sf_dir):
+    """Statistics of the test rows by their time, through the dispatcher of splits."""
+    test = splits.split(_events(spark, sf_dir), "time_ordered", ["event_id"], time="ts").where("split = 'test'")
+    return metrics.holdout_stats(test, "ts")
+
+
+def plan_sizes(spark, sf_dir):
+    """Rows of every split and side of a plan that the factory makes."""
+    plan = cv.make_plan(_events(spark, sf_dir), "cpcv", ["event_id"], time="ts", n_folds=5, n_test_folds=2, target_horizon_bars=4, embargo_pct=0.01)
+    return plan.roles().groupBy("split_id", "role").agg(F.count("*").alias("n"))
+
+
 def _trials(spark, sf_dir):
     """Orders as a log of trials: a study a customer group, a trial an order."""
     df = _orders(spark, sf_dir, "o_custkey", "o_orderstatus", "o_totalprice")
@@ -253,7 +265,7 @@ _NAMES = """split_random_rows split_random_counts split_temporal_rows split_temp
 kfold_assign kfold_shuffled stratified_assign stratified_balance walkforward_expanding walkforward_rolling walkforward_embargo
 group_kfold_assign group_kfold_overlap cpcv_roles panel_cpcv_roles panel_timestamp_overlap panel_mean_rmse panel_rmse_summary
 cardinalities encoder_routing select_features target_encode_full target_encode_oof logical_hash auc_midrank point_metrics
-fold_metric_summary holdout_stats runs_union runs_compare state_counts best_trial gbt_holdout""".split()
+fold_metric_summary holdout_stats holdout_times plan_sizes runs_union runs_compare state_counts best_trial gbt_holdout""".split()
 
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -275,6 +287,18 @@ def _stratified(y: str, k: int) -> str:
   dealt AS (SELECT s.o_orderkey, s.{y}, CAST(u.fold AS INT) AS fold FROM s JOIN upto u ON s.{y} = u.{y} AND s.q >= u.hi - u.n AND s.q < u.hi)"""
 
 
+def _grouped(table: str, key: str, k: int) -> str:
+    """One group after the other, largest first, into the lightest fold."""
+    return f"""
+WITH RECURSIVE g AS (SELECT {key}, count(*) AS n FROM {table} GROUP BY {key}),
+o AS (SELECT {key}, n, row_number() OVER (ORDER BY n DESC, {key}) AS i FROM g),
+r(i, {key}, n, fold, loads) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INT), [CAST(0 AS BIGINT){", 0" * (k - 1)}]
+  UNION ALL
+  SELECT o.i, o.{key}, o.n, CAST(list_position(loads, list_min(loads)) - 1 AS INT), list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + o.n ELSE x END)
+  FROM r JOIN o ON o.i = r.i + 1)"""
+
+
 def _walk_sql(gap: str, longest: str = "NULL") -> str:
     return f"""
 WITH e AS ({_EVENTS}), i AS (SELECT unnest(range(5)) AS split_id), g AS (SELECT {gap} AS gap),
@@ -317,19 +341,11 @@ ORACLE_SQL = {
     "walkforward_expanding": _walk_sql("0"),
     "walkforward_rolling": _walk_sql("10", "300"),
     "walkforward_embargo": _walk_sql("(SELECT ceil(ceil(10800000000.0 / floor(median(d))) * (SELECT count(*) FROM events) / (SELECT count(DISTINCT ts) FROM events)) FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS d FROM (SELECT DISTINCT ts FROM events)) WHERE d IS NOT NULL)"),
-    "group_kfold_assign": """
-WITH RECURSIVE g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
-o AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS i FROM g),
-r(i, user_id, n, fold, loads) AS (
-  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INT), [CAST(0 AS BIGINT), 0, 0, 0, 0]
-  UNION ALL
-  SELECT o.i, o.user_id, o.n, CAST(list_position(loads, list_min(loads)) - 1 AS INT), list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + o.n ELSE x END)
-  FROM r JOIN o ON o.i = r.i + 1)
-SELECT user_id, fold, n FROM r WHERE i > 0""",
-    "group_kfold_overlap": "SELECT CAST(0 AS BIGINT) AS violations, count(DISTINCT l_suppkey) AS supp_groups FROM lineitem",
+    "group_kfold_assign": f"{_grouped('events', 'user_id', 5)} SELECT user_id, fold, n FROM r WHERE i > 0",
+    "group_kfold_overlap": f"{_grouped('lineitem', 'l_suppkey', 4)} SELECT count(CASE WHEN folds > 1 THEN 1 END) AS violations, count(*) AS supp_groups FROM (SELECT l.l_suppkey, count(DISTINCT fold) AS folds FROM lineitem l JOIN r ON r.i > 0 AND r.l_suppkey = l.l_suppkey GROUP BY 1)",
     "cpcv_roles": f"WITH {_purged(_EVENTS, 6, '10', '5')} SELECT CAST(split_id AS INT) AS split_id, role, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM roles GROUP BY ALL",
     "panel_cpcv_roles": f"{_PANEL} SELECT CAST(split_id AS INT) AS split_id, role, count(*) AS n, count(DISTINCT pos) AS times, CAST(sum(pos) AS BIGINT) AS pos_sum FROM panel GROUP BY ALL",
-    "panel_timestamp_overlap": "SELECT CAST(unnest(range(10)) AS INT) AS split_id, CAST(0 AS BIGINT) AS violations",
+    "panel_timestamp_overlap": f"{_PANEL} SELECT CAST(split_id AS INT) AS split_id, count(CASE WHEN n > 1 THEN 1 END) AS violations FROM (SELECT split_id, l_shipdate, count(DISTINCT role) AS n FROM panel GROUP BY ALL) GROUP BY split_id",
     "panel_mean_rmse": f"{_PANEL_RMSE} SELECT * FROM folds",
     "panel_rmse_summary": f"{_PANEL_RMSE} SELECT round(avg(rmse), 6) AS metric_mean, round(stddev_pop(rmse), 6) AS metric_std, count(*) AS n_folds FROM folds",
     "cardinalities": _CARD,
@@ -349,7 +365,7 @@ st AS (SELECT kf, o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM d, k WHE
 SELECT o_orderkey, d.fold, round(coalesce({_SMOOTH} * m + (1 - {_SMOOTH}) * prior, prior), 4) AS cust_enc
 FROM d JOIN pr ON pr.kf = d.fold LEFT JOIN st ON st.kf = d.fold AND st.o_custkey = d.o_custkey""",
     "logical_hash": """
-WITH r AS (SELECT sha256('=' || o_custkey || chr(31) || '=' || o_orderkey || chr(31) || '=' || o_orderpriority || chr(31) || '=' || o_orderstatus) AS h FROM orders),
+WITH r AS (SELECT sha256('=' || o_custkey || chr(31) || '=' || o_orderdate || chr(31) || '=' || o_orderkey || chr(31) || '=' || o_orderpriority || chr(31) || '=' || o_orderstatus || chr(31) || '=' || o_totalprice) AS h FROM orders),
 c AS (SELECT h, count(*) AS n FROM r GROUP BY h),
 b AS (SELECT substring(h, 1, 4) AS b, sha256(string_agg(h || ':' || n, '' ORDER BY h || ':' || n)) AS d FROM c GROUP BY 1)
 SELECT sha256(string_agg(b || d, '' ORDER BY b || d)) AS logical_hash FROM b""",
@@ -358,6 +374,8 @@ SELECT round((sum(CASE WHEN y = 1 THEN k END) - any_value(pos) * (any_value(pos)
     "point_metrics": f"{_SCORED}, q AS (SELECT y, p, least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16) AS c FROM s) SELECT round(avg(-(y * ln(c) + (1 - y) * ln(1 - c))), 9) AS logloss, round(sqrt(avg((y - p) * (y - p))), 9) AS rmse, round(avg(abs(y - p)), 9) AS mae FROM q",
     "fold_metric_summary": f"{_SCORED}, f AS (SELECT fold, sqrt(avg((y - p) * (y - p))) AS v FROM s GROUP BY fold) SELECT round(avg(v), 9) AS metric_mean, round(stddev_pop(v), 9) AS metric_std, count(*) AS n_folds FROM f",
     "holdout_stats": f"SELECT count(*) AS n_rows, CAST(min(event_id) AS VARCHAR) AS first_time, CAST(max(event_id) AS VARCHAR) AS last_time FROM ({_EVENTS}) WHERE {_ROLE} = 'test'",
+    "holdout_times": f"SELECT count(*) AS n_rows, CAST(min(ts) AS VARCHAR) AS first_time, CAST(max(ts) AS VARCHAR) AS last_time FROM ({_EVENTS}) WHERE {_ROLE} = 'test'",
+    "plan_sizes": f"WITH {_purged(_EVENTS, 5, '4', 'floor(n * 0.01)')} SELECT CAST(split_id AS INT) AS split_id, role, count(*) AS n FROM roles GROUP BY ALL",
     "runs_union": f"WITH {_TRIALS} SELECT study_name, trial_number, state, CASE WHEN study_name <> 'study_1' THEN value END AS value FROM t",
     "runs_compare": f"WITH {_TRIALS} SELECT study_name, trial_number, state, value, CAST(o_orderkey % 9 AS VARCHAR) AS params_depth, CAST(o_custkey % 4 AS VARCHAR) AS params_rate, 'rmse' AS attrs_metric FROM t",
     "state_counts": f"WITH {_TRIALS} SELECT state, count(*) AS trials FROM t GROUP BY state",

@@ -92,6 +92,7 @@ def train(spark: SparkSession, cfg: Settings, problem: str | None = None, study:
             trial["value"] = score(trained.predict(held, task.y), task.metric, task.y, "prediction")
             trial["scores"] = [trial["value"]]
             fold = {"fold_idx": 0, "row_count": sides["train"].count(), "fit_seconds": time.monotonic() - began, "timestamp": datetime.now(UTC).isoformat(timespec="seconds")}
+            router.release()
         finally:
             rows.unpersist()
         if trained.best_iteration is not None:

@@ -208,3 +208,54 @@ def test_interrupted_trial_is_no_best(spark, tmp_path):
     with pytest.raises(KeyboardInterrupt):
         search(plan, Task(Features(("x",), ()), "y", "auc", ("id",)), {"max_depth": Range(2, 3, whole=True)}, trials, "s", 1, objective=stopped, sampler="random")
     assert trials.load("s", 0)["state"] == "FAIL"
+
+
+def greedy(sizes, k):
+    loads, out = [0] * k, []
+    for s in sorted(sizes, reverse=True):
+        i = loads.index(min(loads))
+        loads[i] += s
+        out.append(i)
+    return out
+
+
+def test_turns_equal_the_greedy_rule():
+    import random
+
+    rng = random.Random(1)
+    for case in range(300):
+        k = rng.randrange(2, 7)
+        sizes = sorted((rng.choice([1, 1, 2, 3, 7, 50, 1000]) for _ in range(rng.randrange(1, 80))), reverse=True)
+        runs = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        stretches = cv.dealt_runs(runs, k)
+        ends = [at for _, at, _ in stretches[1:]] + [len(sizes)]
+        got = [turn[(p - at) % len(turn)] for (_, at, turn), end in zip(stretches, ends, strict=True) for p in range(at, end)]
+        assert got == greedy(sizes, k), case
+        assert len(stretches) <= k * len(runs)
+    assert cv.dealt_runs([(10**9, 1), (1, 10**9)], 5) == [(10**9, 0, [0, 1, 2, 3, 4]), (1, 1, [1, 2, 3, 4])]
+
+
+def test_group_folds_equal_the_greedy_rule(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 31 != 0, F.floor(F.sqrt(F.col("id")) * F.col("id") % 97)).alias("g"))
+    plan = cv.group_k_fold(df, "g", 4)
+    rows = plan.frame.groupBy("g").agg(F.count("*").alias("n"), F.max("fold").alias("fold")).collect()
+    rows.sort(key=lambda r: (-r.n, r.g is not None, r.g or 0))
+    assert [r.fold for r in rows] == greedy([r.n for r in rows], 4) and sum(r.n for r in rows) == 4000
+
+
+def test_median_of_ties(spark, monkeypatch):
+    monkeypatch.setattr(order.ranged, "__defaults__", (50,))
+    for values, want in (([1] * 500 + [2] * 499, 1), ([1] * 500 + [4] * 500, 2.5), ([None, 7], 7), ([], None), ([None], None), (list(range(301)), 150)):
+        assert order.exact_median(spark.createDataFrame([(v,) for v in values], "v long"), "v") == want
+
+
+def test_row_hashes_do_not_depend_on_the_time_zone(spark):
+    df = spark.range(3).select(F.timestamp_seconds(F.col("id") * 86400).alias("t"), "id")
+    hashes = []
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            hashes.append(hashing.logical_hash(df).first().logical_hash)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert hashes[0] == hashes[1]
