@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +24,40 @@ PART = 1 << 15
 _NO_LETTER = re.compile("[^A-Za-z]")
 
 
-def token_starts(text: str, split, part: int = PART) -> np.ndarray:
-    """Offset of every token in code points.
+def token_cuts(text: str, split, one: int, two: int, part: int = PART) -> tuple[int, int, int]:
+    """Tokens of a text, and the code points before the smaller and the larger of the ranks ``one`` and ``two`` modulo n + 1.
 
-    Long texts go to the pre-tokenizer in parts that end after a code point that is no letter: a token ends there in any
-    case, so parts change nothing, and only the numbers of a whole text are held.
+    The length of the pre-tokenizer's offsets gives n, the offsets at the ranks give the cuts. Long texts go to it in
+    parts that end after a code point that is no letter: a token ends there in any case, so parts change nothing. Only
+    the number of a part's tokens is kept; a part that holds a rank is split again, unless it is the last one.
     """
-    found, at = [], 0
+    parts, n, at, tokens = [], 0, 0, []
     while at < len(text):
         cut = _NO_LETTER.search(text, at + part - 1)
         end = cut.end() if cut else len(text)
         tokens = split.pre_tokenize_str(text[at:end])
-        found.append(np.fromiter((at + span[0] for _, span in tokens), np.int64, len(tokens)))
-        at = end
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        parts.append((n, at, end))
+        n, at = n + len(tokens), end
+
+    def offset(rank: int) -> int:
+        if rank == n:
+            return len(text)
+        before, begin, end = parts[bisect_right(parts, rank, key=lambda p: p[0]) - 1]
+        found = tokens if end == len(text) else split.pre_tokenize_str(text[begin:end])
+        return begin + found[rank - before][1][0]
+
+    first, last = sorted((one % (n + 1), two % (n + 1)))
+    return n, offset(first), offset(last)
 
 
 def cut_points(texts: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
-    """Tokens of each text, and the code points before the smaller and the larger of two ranks modulo n + 1."""
+    """``token_cuts`` of each text."""
     from tokenizers import Regex, pre_tokenizers
 
     split = pre_tokenizers.Split(Regex(TOKEN), "isolated")
     out = np.zeros((3, len(texts)), np.int64)
-    for i, text in enumerate(texts):
-        text = text.as_py()
-        starts = token_starts(text, split)
-        n = len(starts)
-        ranks = sorted((one[i].as_py() % (n + 1), two[i].as_py() % (n + 1)))
-        out[:, i] = n, *(int(starts[r]) if r < n else len(text) for r in ranks)
+    for i in range(len(texts)):
+        out[:, i] = token_cuts(texts[i].as_py(), split, one[i].as_py(), two[i].as_py())
     return pa.StructArray.from_arrays([pa.array(x) for x in out], names=["n", "first", "last"])
 
 

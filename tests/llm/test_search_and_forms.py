@@ -103,7 +103,7 @@ def test_forms_equal_brute_force(spark, monkeypatch):
     rows = [(i, "".join(rng.choice("ab c\n<PSM>é😀\r.") for _ in range(rng.randrange(60)))) for i in range(400)]
     rows += [(None, "one two"), (None, None), (7, rows[7][1]), (900, None), (901, ""), (902, "a<P>b"), (903, "x" * 200_000), (904, "a, " * 80_000), (905, "<<S<P<M")]
     for part in (infill.PART, 3):
-        monkeypatch.setattr(infill.token_starts, "__defaults__", (part,))
+        monkeypatch.setattr(infill.token_cuts, "__defaults__", (part,))
         out = infill.fill_in_middle(docs_of(spark, rows if part > 3 else rows[:60]), name="form")
         out = out.select("doc_id", "text", "form.*", infill.restored(F.col("form.output"), F.col("form.form")).alias("again")).collect()
         assert sorted(((r.doc_id, r.text, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in out), key=str) == sorted(((i, t, *filled(i, t)) for i, t in (rows if part > 3 else rows[:60])), key=str)
@@ -111,13 +111,17 @@ def test_forms_equal_brute_force(spark, monkeypatch):
     assert {r.form for r in out} == {"plain", "psm", "spm"}
 
 
-def test_token_starts_in_parts():
+def test_cuts_do_not_depend_on_parts():
     from tokenizers import Regex, pre_tokenizers
 
     split = pre_tokenizers.Split(Regex(infill.TOKEN), "isolated")
     for text in ("", "abc", "abc def", "é" * 9, "a1" * 9, "longword " * 5, " " * 7):
-        want = [m.start() for m in TOKEN.finditer(text)]
-        assert all(infill.token_starts(text, split, part).tolist() == want for part in (1, 2, 3, 5, 100))
+        starts = [*(m.start() for m in TOKEN.finditer(text)), len(text)]
+        n = len(starts) - 1
+        for one in range(n + 2):
+            for two in (0, one, n, n + 1):
+                want = (n, *sorted((starts[one % (n + 1)], starts[two % (n + 1)])))
+                assert all(infill.token_cuts(text, split, one, two, part) == want for part in (1, 2, 3, 5, 100))
 
 
 def test_forms_keep_other_columns(spark):
