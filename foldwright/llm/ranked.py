@@ -19,6 +19,11 @@ NO_TERM = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Fixed values of the score: percent of a document's length that counts, factors of term frequency and of length.
 LENGTH_PERCENT, SCALE, TF_UNIT, LENGTH_UNIT = 50, 1_000_000_000, 1000, 20
 DEPTH = 50
+#: Left-out terms of an item stay under this part of its bound. One in 1 would be safe; then fewer impacts are joined, but
+#: most candidates could still reach the bound and each of them is scored over all terms.
+LEFT_OUT = 2
+#: Documents of an item that are scored for its first bound, as a multiple of the depth.
+SEEDS = 10
 #: Bytes of text that are cut into terms at once (a longer text is taken whole).
 TERM_CHUNK = 1 << 20
 #: Bytes of the items' distinct terms (with 16 for each) that may be sent to all tasks; beyond, postings of all terms are written.
@@ -98,15 +103,22 @@ def exact_scores(pairs: DataFrame, lists: DataFrame, wanted: DataFrame, weights:
     return found.groupBy("item", "row").agg(F.first("key").alias("key"), F.sum(impact).alias("score"))
 
 
+def last_scores(scored: DataFrame, depth: int) -> DataFrame:
+    """(item, bound): the ``depth``-th highest of an item's scores; 1, as a result must have, for items with fewer."""
+    best = top(scored, "item", [F.desc("score")], depth, "place")
+    return best.groupBy("item").agg(F.when(F.count("*") >= depth, F.min("score")).otherwise(1).alias("bound"))
+
+
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", depth: int = DEPTH) -> DataFrame:
     """The ``depth`` highest-scoring documents of every item: item_id, rank from 1, doc_id, score.
 
     Impacts (a term's part of a score) are never negative. The ``depth`` largest impacts of each term are stored; summed
-    by item and document they are lower bounds of scores, so the ``depth``-th largest sum of an item bounds its last
-    score, and the exact scores of these documents bound it better. An item's terms in order of their largest impact
-    are left out as long as all left out together stay under its bound: no document with these alone can be in the
-    result. Documents with one of the other terms are candidates, those whose sum over them cannot reach the bound even
-    with all left-out terms are dropped, and the rest is scored exactly, so nothing is lost.
+    by item and document they are lower bounds of scores, and the exact scores of the SEEDS * ``depth`` documents of the
+    largest sums bound an item's last score. An item's terms in order of their largest impact are left out as long as all
+    left out together stay under one in LEFT_OUT of its bound: no document with these alone can be in the result.
+    Documents with one of the other terms are candidates; those whose sum over them cannot reach the bound even with all
+    left-out terms are dropped. Of the rest, those of the largest sums are scored to raise the bound once more, and what
+    can still reach it is scored exactly, so nothing is lost.
 
     Each row of ``docs`` is a document of its own: repeated rows and repeated ids all count and all can be returned; a
     null id comes last among equal scores. Rows of ``items`` with one id are one item with the terms of all its texts;
@@ -128,15 +140,18 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
 
     tops = materialize(top(impacts.select("row", "term", "impact"), "term", [F.desc("impact"), F.col("row")], depth, "place"), "top-impacts")
     sums = tops.join(sized(wanted), "term").groupBy("item", "row").agg(F.sum("impact").alias("least"))
-    seeds = top(sums, "item", [F.desc("least"), F.col("row")], depth, "place").select("item", "row")
-    seeds = exact_scores(materialize(seeds, "seed-rows"), lists, wanted, weights, impact)
-    bound = seeds.groupBy("item").agg(F.when(F.count("*") >= depth, F.min("score")).otherwise(1).alias("bound"))
+    seeds = top(sums, "item", [F.desc("least"), F.col("row")], SEEDS * depth, "place").select("item", "row")
+    bound = last_scores(exact_scores(materialize(seeds, "seed-rows"), lists, wanted, weights, impact), depth)
     largest = wanted.join(sized(tops.where("place = 1").select("term", F.col("impact").alias("most"))), "term")
     below = F.sum("most").over(Window.partitionBy("item").orderBy("most", "term"))
     terms = materialize(largest.withColumn("below", below).join(sized(bound), "item"), "item-bounds")
-    rest = terms.groupBy("item").agg(F.coalesce(F.max(F.when(F.col("below") < F.col("bound"), F.col("below"))), F.lit(0)).alias("rest"), F.max("bound").alias("bound"))
-    reach = impacts.join(sized(terms.where("below >= bound").select("item", "term")), "term").groupBy("item", "row").agg(F.sum("impact").alias("part"))
-    candidates = materialize(reach.join(sized(rest), "item").where("part + rest >= bound").select("item", "row"), "candidates")
+    kept = F.col("below") * LEFT_OUT >= F.col("bound")
+    rest = terms.groupBy("item").agg(F.coalesce(F.max(F.when(~kept, F.col("below"))), F.lit(0)).alias("rest"), F.max("bound").alias("bound"))
+    reach = impacts.join(sized(terms.where(kept).select("item", "term")), "term").groupBy("item", "row").agg(F.sum("impact").alias("part"))
+    reach = materialize(reach.join(sized(rest), "item").where("part + rest >= bound").select("item", "row", "part", "rest"), "reach")
+    likely = top(reach, "item", [F.desc("part"), F.col("row")], 2 * depth, "place").select("item", "row")
+    bound = last_scores(exact_scores(materialize(likely, "likely-rows"), lists, wanted, weights, impact), depth)
+    candidates = materialize(reach.join(sized(bound), "item").where("part + rest >= bound").select("item", "row"), "candidates")
     scored = exact_scores(candidates, lists, wanted, weights, impact)
     ranked = top(scored, "item", [F.desc("score"), F.asc_nulls_last("key"), F.col("row")], depth, "rank")
     return ranked.select(F.col("item").alias("item_id"), F.col("rank").cast("int"), F.col("key").alias("doc_id"), "score")
