@@ -27,17 +27,16 @@ def unescape(text: Column) -> Column:
 
 
 def merged_turns(turns: Column) -> Column:
-    """Blocks of adjacent turns of one role: array of (role, parts), by array aggregation over the sorted turns."""
-    none = F.expr("CAST(array() AS array<struct<role:string,parts:array<string>>>)")
+    """Blocks of adjacent turns of one role: array of (role, parts), by array functions over the sorted turns.
 
-    def add(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["role"].alias("role"), F.array(x["text"]).alias("parts")))
-        last = F.element_at(acc, -1)
-        grown = F.array(F.struct(last["role"].alias("role"), F.concat(last["parts"], F.array(x["text"])).alias("parts")))
-        same = F.when(F.size(acc) > 0, last["role"] == x["role"]).otherwise(F.lit(False))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, one))
+    The places where the role changes are found first, then each block is one slice, so the work grows with the turns.
+    """
+
+    def blocks(a: Column) -> Column:
+        begins = F.filter(F.transform(a, lambda x, i: F.when(~F.get(a, i - 1)["role"].eqNullSafe(x["role"]), i)), lambda i: i.isNotNull())
+        return bind(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(a, i)["role"].alias("role"), F.transform(F.slice(a, i + 1, F.coalesce(F.get(at, k + 1), F.size(a)) - i), lambda x: x["text"]).alias("parts"))))
 
-    return F.aggregate(turns, none, add)
+    return bind(turns, blocks)
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
