@@ -28,8 +28,9 @@ EPOCHS = 6
 #: Bytes of text whose subwords a fit or a scoring task holds at once (a longer text is taken whole).
 FIT_CHUNK = 1 << 18
 MIN_STEPS = 50
-#: Buckets of fewer rows of the sample than this take no part.
-MIN_ROWS = 3
+#: Rows of the sample that must hold a bucket for it to take part: one of these, chosen on one row in INNER of the sample.
+MIN_ROWS = (3, 10, 30, 60)
+INNER = 4
 BATCH_ROWS = 256
 RATE = 0.02
 THRESHOLD = 0.3
@@ -101,21 +102,30 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def bags(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """The buckets of each text's subwords, one array a text, and the texts that hold each bucket."""
-    out, rows = [], np.zeros(1 << BUCKET_BITS, np.int64)
+@dataclass
+class Bag:
+    """The buckets of a text's subwords, how often it has each, and all its subwords."""
+
+    buckets: np.ndarray
+    times: np.ndarray
+    size: int
+
+
+def bags(texts: pa.Array) -> list[Bag]:
+    out = []
     for _, _, data, offsets in lowered_chunks(texts):
         row, bucket = (np.concatenate(x) for x in zip(*subwords(data, offsets), strict=True))
-        n = len(offsets) - 1
-        rows += np.bincount(np.unique(row << BUCKET_BITS | bucket) & ((1 << BUCKET_BITS) - 1), minlength=len(rows))
-        ends = np.cumsum(np.bincount(row, minlength=n))
-        bucket = bucket.astype(np.int32)[np.argsort(row, kind="stable")]
-        out += [bucket[a:b].copy() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
-    return out, rows
+        keys, times = np.unique(row << BUCKET_BITS | bucket, return_counts=True)
+        ends = np.searchsorted(keys, np.arange(len(offsets)) << BUCKET_BITS)
+        sizes = np.bincount(row, minlength=len(offsets) - 1)
+        buckets, times = (keys & ((1 << BUCKET_BITS) - 1)).astype(np.int32), times.astype(np.float32)
+        out += [Bag(buckets[a:b].copy(), times[a:b].copy(), int(n)) for a, b, n in zip(ends[:-1], ends[1:], sizes, strict=True)]
+    return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
-    """Embeddings, weights and bias together, by Adam on mini-batches of the softmax loss. Without a sample, all scores are low."""
+def trained(held: list[Bag], labels: np.ndarray, min_rows: int, seed: int) -> Model:
+    """Embeddings, weights and bias together, by Adam on mini-batches of the softmax loss, over the buckets that
+    ``min_rows`` of the texts hold at least."""
     rng = np.random.RandomState(seed)
     size = 1 << BUCKET_BITS
     params = {
@@ -123,35 +133,38 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
         "weights": rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32),
         "bias": np.zeros(2, np.float32),
     }
-    share = np.clip(labels.mean() if len(texts) else 0.0, 1e-3, 1 - 1e-3)
+    share = np.clip(labels.mean() if len(held) else 0.0, 1e-3, 1 - 1e-3)
     params["bias"][:] = np.log([1 - share, share])
-    n_texts = len(texts)
-    held, rows = bags(texts)
-    del texts
-    often = (rows >= MIN_ROWS).astype(np.float32)
+    rows = np.zeros(size, np.int64)
+    for bag in held:
+        rows[bag.buckets] += 1
+    often = rows >= min_rows
+
+    def part(bag: Bag) -> tuple[np.ndarray, np.ndarray]:
+        known = often[bag.buckets]
+        return bag.buckets[known], bag.times[known] * np.float32(SCALE / (bag.size + PRIOR))
+
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(v) for k, v in params.items()}
     order = np.zeros(0, np.int64)
-    steps = max(MIN_STEPS, EPOCHS * n_texts // BATCH_ROWS) if n_texts else 0
+    steps = max(MIN_STEPS, EPOCHS * len(held) // BATCH_ROWS) if held else 0
     for step in range(1, steps + 1):
         if len(order) < BATCH_ROWS:
-            order = np.concatenate((order, rng.permutation(n_texts)))
+            order = np.concatenate((order, rng.permutation(len(held))))
         rows, order = order[:BATCH_ROWS], order[BATCH_ROWS:]
-        n = np.array([len(held[r]) for r in rows])
-        owner, col = np.repeat(np.arange(len(rows)), n), np.concatenate([held[r] for r in rows])
-        share = often[col] * (SCALE / (n + PRIOR)).astype(np.float32)[owner]
-        hidden = np.stack([np.bincount(owner, share * params["embedding"][col, k], len(rows)) for k in range(DIM)], 1)
+        batch = [part(held[r]) for r in rows]
+        hidden = np.stack([share @ params["embedding"][cols] for cols, share in batch])
         logits = hidden @ params["weights"] + params["bias"]
         prob = np.exp(logits - logits.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
         prob[np.arange(len(rows)), labels[rows]] -= 1
         prob /= len(rows)
-        back = prob @ params["weights"].T
-        grads = {
-            "embedding": np.stack([np.bincount(col, share * back[owner, k], size) for k in range(DIM)], 1),
-            "weights": hidden.T @ prob,
-            "bias": prob.sum(0),
-        }
+        # of two classes the one's gradient is the other's turned round, so all of a bucket's go along one direction
+        pull = np.zeros(size, np.float32)
+        for (cols, share), p in zip(batch, prob[:, 1].astype(np.float32), strict=True):
+            pull[cols] += share * p
+        direction = params["weights"][:, 1] - params["weights"][:, 0]
+        grads = {"embedding": pull[:, None] * direction[None, :], "weights": hidden.T @ prob, "bias": prob.sum(0)}
         for k, g in grads.items():
             m[k] += (g - m[k]) * 0.1
             v[k] += (g * g - v[k]) * 0.001
@@ -160,6 +173,32 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
     return Model(**params)
 
 
+def bag_scores(held: list[Bag], model: Model) -> np.ndarray:
+    value = model.value()
+    means = np.array([float(value[bag.buckets] @ bag.times) / (bag.size + PRIOR) for bag in held])
+    return 1 / (1 + np.exp(-(means + model.margin())))
+
+
+def fit(texts: pa.Array, labels: np.ndarray, seed: int = 1) -> Model:
+    """A model of the sample; without one, all scores are low.
+
+    Rare subwords let a fit learn its rows by heart. How many rows must hold a subword is therefore chosen among
+    MIN_ROWS: each is fitted without one row in INNER, and that of the lowest softmax loss on these rows is fitted to all.
+    """
+    held = bags(texts)
+    del texts
+    inner = np.arange(len(held)) % INNER == INNER - 1
+    best, least = MIN_ROWS[0], np.inf
+    if len(set(labels[inner])) == 2 and len(set(labels[~inner])) == 2:
+        mine, others = [h for h, i in zip(held, inner, strict=True) if i], [h for h, i in zip(held, inner, strict=True) if not i]
+        for rows in MIN_ROWS:
+            p = np.clip(bag_scores(mine, trained(others, labels[~inner], rows, seed)), 1e-6, 1 - 1e-6)
+            loss = float(-np.log(np.where(labels[inner] == 1, p, 1 - p)).mean())
+            if loss < least:
+                best, least = rows, loss
+    return trained(held, labels, best, seed)
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[pa.Array, np.ndarray, float]:
     """The fitting sample and the log odds of label 1 in all labels.
 
@@ -255,8 +294,10 @@ def with_score(df: DataFrame, model: Model, text: str, name: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with a score under THRESHOLD, with their columns as they are.
 
-    Null and empty texts have the score of the bias and stay; equal texts stay or go together; no documents, no rows.
+    Null texts and texts without a word stay whatever the share of label 1, as nothing in them speaks against them; equal
+    texts stay or go together; no documents, no rows.
     """
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     name = fresh(docs, "score")[0]
-    return with_score(docs, model, "text", name).where(F.col(name) < THRESHOLD).drop(name)
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return with_score(docs, model, "text", name).where(blank | (F.col(name) < THRESHOLD)).drop(name)
