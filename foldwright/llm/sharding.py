@@ -95,5 +95,9 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with shard and slot."""
+    """Pipeline stage: the documents with row, shard and slot; columns of these names are replaced, all others stay.
+
+    Null texts count as any other; rows of one doc_id, or without one, take their places in any order, each a place of
+    its own, so equal texts may part; no documents, no rows.
+    """
     return feistel_shards(docs, ["doc_id"], N_SHARDS)
