@@ -25,6 +25,8 @@ ORACLE_SQL = {
     "op2_revisit_asof": revisits.OP2_SQL,
     "op4_bottomk_near_dedup": near_dedup.OP4_SQL,
     "op5_relational_chat": chat.OP5_SQL,
+    "op7_radix_repeats": repeats.OP7_SQL,
+    "op9_feistel_shards": sharding.OP9_SQL,
     "op10_spaced_seeds": decontaminate.OP10_SQL,
     "op11_threshold_search": ranked.OP11_SQL,
     "op12_fill_in_middle": infill.OP12_SQL,

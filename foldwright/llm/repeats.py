@@ -289,3 +289,28 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", depth
 def op7_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+#: Every window of the bytes, as hex digits; windows are grouped by 128 bits of md5.
+OP7_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+  SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, {2 * DEPTH}) AS s FROM (SELECT doc_id, h, unnest(range(n_bytes - {DEPTH - 1})) AS p FROM n WHERE n_bytes >= {DEPTH})
+), later AS (
+  SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY md5_number(s) ORDER BY doc_id, p) > 1
+), runs AS (
+  SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -{2 * DEPTH}) > {DEPTH} AS opens FROM later
+), spans AS (
+  SELECT doc_id, min(p) AS first, max(p) + {DEPTH} AS last FROM (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM runs) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS since FROM spans
+), parts AS (
+  SELECT doc_id, sum(last - first) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (first - since)), '' ORDER BY first) || substr(any_value(h), 2 * max(last) + 1) AS rest
+  FROM kept JOIN n USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM n LEFT JOIN parts USING (doc_id)
+"""

@@ -37,15 +37,22 @@ def _mix(value: Column, key: int) -> Column:
     )
 
 
+def _round(left: bool, size: int, key: int):
+    """One half shifted by the mixed other half and the round's key. The function takes the state alone, as a second
+    parameter would be given an array index."""
+
+    def shifted(s: Column) -> Column:
+        mine, other = ("l", "r") if left else ("r", "l")
+        return F.struct(*(((s[mine] + _mix(s[other], key)) % size if c == mine else s[c]).alias(c) for c in "lr"))
+
+    return shifted
+
+
 def permute(p: Column, a: int, b: int, seed: int) -> Column:
     """One pass of the Feistel network on [0, a * b): the halves, modulo a and b, take turns to be shifted."""
     state = F.struct(F.call_function("div", p, F.lit(b)).cast("long").alias("l"), (p % b).cast("long").alias("r"))
     for i in range(ROUNDS):
-        key = (seed + i * ROUND_STEP) % MODULUS
-        if i % 2 == 0:
-            state = bind(state, lambda s, k=key: F.struct(((s["l"] + _mix(s["r"], k)) % a).alias("l"), s["r"].alias("r")))
-        else:
-            state = bind(state, lambda s, k=key: F.struct(s["l"].alias("l"), ((s["r"] + _mix(s["l"], k)) % b).alias("r")))
+        state = bind(state, _round(i % 2 == 0, a if i % 2 == 0 else b, (seed + i * ROUND_STEP) % MODULUS))
     return bind(state, lambda s: s["l"] * b + s["r"])
 
 
@@ -101,3 +108,45 @@ def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its own, so equal texts may part; no documents, no rows.
     """
     return feistel_shards(docs, ["doc_id"], N_SHARDS)
+
+
+def _mix_sql(value: str, key: int) -> str:
+    y = f"((({value}) + {key}) % {MODULUS} * {MUL_1} % {MODULUS})"
+    z = f"(xor({y}, {y} >> 15) * {MUL_2} % {MODULUS})"
+    return f"xor({z}, {z} >> 13)"
+
+
+def _rounds_sql() -> str:
+    """One pass of the network as nested selects over (r, p, n, a, b)."""
+    sql = "SELECT id, p // b AS l, p % b AS r, n, a, b, step FROM walk WHERE p >= n OR step = 0"
+    for i in range(ROUNDS):
+        key = (SEED + i * ROUND_STEP) % MODULUS
+        left, right = (f"(l + {_mix_sql('r', key)}) % a", "r") if i % 2 == 0 else ("l", f"(r + {_mix_sql('l', key)}) % b")
+        sql = f"SELECT id, {left} AS l, {right} AS r, n, a, b, step FROM ({sql})"
+    return f"SELECT id, l * b + r AS p, n, a, b, step + 1 AS step FROM ({sql})"
+
+
+#: The row numbers, then passes of the network until a number falls inside; crc32 by its table of bytes.
+OP9_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda acc, x: CASE WHEN acc % 2 = 1 THEN xor(3988292384, acc >> 1) ELSE acc >> 1 END) AS v FROM range(256) AS t(i))
+), hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+  SELECT doc_id, len(h) // 2 + 1 AS size, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM hexed
+), d AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda acc, x: xor(acc >> 8, tbl[xor(acc, x) % 256 + 1]))) AS text_crc32 FROM bytes, crc
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)) || chr(31) || text_crc32), 1, {BUCKET_DIGITS}), doc_id NULLS FIRST, text_crc32) - 1 AS id, count(*) OVER () AS n FROM d
+), sides AS (
+  SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM numbered
+), walk AS (
+  SELECT id, id AS p, n, a, (n + a - 1) // a AS b, 0 AS step FROM sides
+  UNION ALL
+  {_rounds_sql()}
+), placed AS (
+  SELECT id, p FROM walk WHERE p < n AND step > 0
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p % {N_SHARDS} AS INTEGER) AS shard, CAST(p // {N_SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, id AS "row"
+FROM numbered JOIN placed USING (id)
+"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foldwright.llm import chat, decontaminate, mixing, near_dedup, quality, revisits, sharding, toxicity
+from foldwright.llm import chat, common, decontaminate, mixing, near_dedup, quality, repeats, revisits, sharding, toxicity
 from foldwright.llm.common import table
 
 DOCS = "doc_id long, text string, source string"
@@ -207,3 +207,53 @@ def test_stages_take_a_table_without_rows(spark, name):
     none = table(spark, sf, "documents").limit(0)
     out = dict(corpus_pipeline.STAGES)[name](spark, none, sf)
     assert out.count() == 0 and set(none.columns) <= set(out.columns)
+
+
+def test_shards_equal_the_network_and_hang_on_the_seed(spark):
+    """The network in plain numbers: rounds with keys of their own, walked until the place is inside."""
+
+    def mix(v, key):
+        y = (v + key) % sharding.MODULUS * sharding.MUL_1 % sharding.MODULUS
+        z = (y ^ (y >> 15)) * sharding.MUL_2 % sharding.MODULUS
+        return z ^ (z >> 13)
+
+    def place(p, n, seed):
+        a, b = sharding.domain(n)
+        while True:
+            x, y = divmod(p, b)
+            for i in range(sharding.ROUNDS):
+                key = (seed + i * sharding.ROUND_STEP) % sharding.MODULUS
+                x, y = ((x + mix(y, key)) % a, y) if i % 2 == 0 else (x, (y + mix(x, key)) % b)
+            p = x * b + y
+            if p < n:
+                return p
+
+    for n, seed in ((1000, sharding.SEED), (1000, 5), (37, 1)):
+        out = sharding.feistel_shards(spark.range(n), ["id"], 8, seed).collect()
+        got = {r.row: r.slot * 8 + r.shard for r in out}
+        assert got == {i: place(i, n, seed) for i in range(n)}
+
+
+def test_shard_sql_and_repeat_sql_equal_the_operators(spark, tmp_path):
+    rng = random.Random(6)
+    shared = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 30)} {shared} é{i}😀", "a") for i in range(20)] + [(30, None, "a"), (31, "", "a"), (32, "ab" * 300, None), (33, "short", "a"), (34, "é" * 120, "a"), (35, "é" * 49 + "xy", "a")]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for query, sql in ((sharding.op9_feistel_shards, sharding.OP9_SQL), (repeats.op7_radix_repeats, repeats.OP7_SQL)):
+        out = query(spark, str(tmp_path))
+        names, want = sql_rows(sql, documents=docs)
+        assert sorted(names) == sorted(out.columns)
+        assert sorted(map(tuple, out.select(*names).collect()), key=str) == sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in want), key=str)
+
+
+def test_only_the_last_table_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    with common.last_table_only(spark):
+        one = common.materialize(spark.range(5), "one")
+        two = common.materialize(one.where("id > 2"), "two")
+    common.materialize(spark.range(1), "later")
+    left = sorted(p.name.split("-")[0] for p in (tmp_path / "foldwright").iterdir())
+    assert left == ["later", "two"] and two.count() == 2
+    with common.last_table_only(spark):
+        pass
