@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
+#: Paths of the tables that the innermost ``last_table_only`` has seen written.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def last_table_only(spark: SparkSession) -> Iterator[None]:
+    """At its end, delete all tables that were written inside but the last one, which must not read the others any more."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        made = _written.get()
+        _written.reset(token)
+        for path in made[:-1]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; a lost executor loses none of it. Its shuffles are then removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldwright/{label}-{uuid.uuid4().hex}"
+    if (made := _written.get()) is not None:
+        made.append(path)
     before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
         for k, v in WRITING.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind, fresh, keys_within, materialize, sized, table, text_of
+from .common import bind, fresh, keys_within, last_table_only, materialize, sized, table, text_of
 
 #: Fixed masks over nine tokens: each ignores every third position, so a hit survives substitutions there; each
 #: position of a window is ignored by one of the masks.
@@ -155,7 +155,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Null and empty texts and rows without a doc_id stay; rows of one doc_id go together; without items all stay.
     """
-    found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    with last_table_only(spark):
+        found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     key = fresh(docs, "leak_id")[0]
     return docs.join(sized(found.select(F.col("doc_id").alias(key))), F.col("doc_id") == F.col(key), "left_anti")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, join_counted, materialize, sized, table
+from .common import fresh, join_counted, last_table_only, materialize, sized, table
 from .components import components
 from .kernels import chunks, finish, shingles
 
@@ -213,7 +213,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without a doc_id, words or near-duplicates stay; rows of equal doc_id stay or go together; no rows, no rows.
     """
-    out = materialize(near_components(docs).where("NOT kept").select("key").distinct(), "near-dropped")
+    with last_table_only(spark):
+        out = materialize(near_components(docs).where("NOT kept").select("key").distinct(), "near-dropped")
     gone = fresh(docs, "gone")[0]
     return docs.join(sized(out.select(F.col("key").alias(gone))), F.col("doc_id") == F.col(gone), "left_anti")
 
