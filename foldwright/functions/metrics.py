@@ -61,9 +61,9 @@ def score(df: DataFrame, name: str, y: str, p: str) -> float | None:
     return out.first()[0]
 
 
-def fold_summary(folds: DataFrame, value: str = "score") -> DataFrame:
-    """Mean, population standard deviation (0 of a single fold) and number of the scores of folds."""
-    return folds.agg(F.avg(value).alias("metric_mean"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("metric_std"), F.count(value).alias("n_folds"))
+def fold_summary(folds: DataFrame, value: str = "score", *by: str) -> DataFrame:
+    """Mean, population standard deviation (0 of a single fold) and number of the scores of folds, for each ``by``."""
+    return folds.groupBy(*by).agg(F.avg(value).alias("metric_mean"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("metric_std"), F.count(value).alias("n_folds"))
 
 
 def holdout_stats(df: DataFrame, time: str | None = None) -> DataFrame:

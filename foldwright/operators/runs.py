@@ -50,8 +50,7 @@ class Trials:
             out = out.where(F.col("study_name") == study)
         if problem is not None:
             out = out.where(F.col("study_name").startswith(f"{problem}_"))
-        last = F.row_number().over(Window.partitionBy("study_name", "trial_number").orderBy(F.col("at").desc_nulls_last()))
-        return out.withColumn("_last", last).where("_last = 1").drop("_last", "at")
+        return latest(out)
 
     def enqueue(self, study: str, params: dict, attrs: dict | None = None) -> int:
         """Let a trial of these parameters wait for the next search of the study; returns its number."""
@@ -94,6 +93,12 @@ class Trials:
             self.append(trial)
 
 
+def latest(log: DataFrame) -> DataFrame:
+    """The last row of each trial by ``at``, without it: what the trials of a log are now."""
+    last = F.row_number().over(Window.partitionBy("study_name", "trial_number").orderBy(F.col("at").desc_nulls_last()))
+    return log.withColumn("_last", last).where("_last = 1").drop("_last", "at")
+
+
 def list_runs(frames: list[DataFrame]) -> DataFrame:
     """Union of trial tables by column name; columns that a table lacks are null."""
     out = frames[0]

@@ -34,12 +34,17 @@ class SplitPlan:
             raise ValueError(f"split {i} of {self.n_splits}")
         return self.frame.where({"train": self.train, "test": self.test}[role](i))
 
-    def roles(self) -> DataFrame:
-        """One row a split, row and role ('train' or 'test'; neither: no row), in one pass over the frame."""
+    def roles(self, frame: DataFrame | None = None) -> DataFrame:
+        """One row a split, row and role ('train' or 'test'; neither: no row), in one pass over the frame.
+
+        ``frame`` may be one that sums the plan's rows up by the columns that its sides hang on, ``pos`` and ``fold``: then
+        the sums are multiplied by the splits, and not the rows.
+        """
+        frame = self.frame if frame is None else frame
         role = lambda i: F.when(self.test(i), "test").when(self.train(i), "train")
         every = F.array(*(F.struct(F.lit(i).alias("split_id"), role(i).alias("role")) for i in range(self.n_splits)))
-        out = self.frame.withColumn("_role", F.explode(every))
-        return out.select(*self.frame.columns, "_role.split_id", "_role.role").where("role IS NOT NULL")
+        out = frame.withColumn("_role", F.explode(every))
+        return out.select(*frame.columns, "_role.split_id", "_role.role").where("role IS NOT NULL")
 
 
 def need(df: DataFrame, *cols: str | None) -> None:

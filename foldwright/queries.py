@@ -122,22 +122,34 @@ def _panel(spark, sf_dir, *cols):
     return cv.panel_combinatorial_purged(_lines(spark, sf_dir, *cols), "l_shipdate", "l_suppkey", 5, 2, target_horizon_bars=3, embargo_pct=0.01)
 
 
+def _panel_times(spark, sf_dir, *sums):
+    """Roles of the panel's times, each with its number of rows and sums over them."""
+    plan = _panel(spark, sf_dir, "l_quantity")
+    return plan.roles(plan.frame.groupBy("l_shipdate", "pos", "fold").agg(F.count("*").alias("rows"), *sums))
+
+
 def panel_cpcv_roles(spark, sf_dir):
-    return _panel(spark, sf_dir).roles().groupBy("split_id", "role").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("times"), F.sum("pos").alias("pos_sum"))
+    return _panel_times(spark, sf_dir).groupBy("split_id", "role").agg(F.sum("rows").alias("n"), F.count_distinct("pos").alias("times"), F.sum(F.col("pos") * F.col("rows")).alias("pos_sum"))
 
 
 def panel_timestamp_overlap(spark, sf_dir):
-    roles = _panel(spark, sf_dir).roles().groupBy("split_id", "l_shipdate").agg(F.count_distinct("role").alias("roles"))
+    roles = _panel_times(spark, sf_dir).groupBy("split_id", "l_shipdate").agg(F.count_distinct("role").alias("roles"))
     return roles.groupBy("split_id").agg(F.count(F.when(F.col("roles") > 1, 1)).alias("violations"))
 
 
 def panel_mean_rmse(spark, sf_dir):
-    """Each split's train mean as the prediction of its test rows: one pass, as the squared error follows from sums."""
-    rows = _panel(spark, sf_dir, "l_quantity").roles()
+    """Each split's train mean as the prediction of its test rows, from sums by time.
+
+    Squares are summed around the mean of the time they belong to, so none of the terms is a small difference of large ones.
+    """
     q = F.col("l_quantity")
-    is_train, is_test = F.col("role") == "train", F.col("role") == "test"
-    per = rows.groupBy("split_id").agg(F.avg(F.when(is_train, q)).alias("m"), F.avg(F.when(is_test, q)).alias("t"), F.avg(F.when(is_test, q * q)).alias("t2"), F.count(F.when(is_test, 1)).alias("n_test"))
-    return per.select("split_id", "n_test", F.round(F.sqrt(F.col("t2") - 2 * F.col("m") * F.col("t") + F.col("m") * F.col("m")), 6).alias("rmse"))
+    rows = _panel_times(spark, sf_dir, F.sum(q).alias("total"), F.avg(q).alias("mean"), F.var_pop(q).alias("var"))
+    is_train, is_test, n = F.col("role") == "train", F.col("role") == "test", F.col("rows")
+    mean = (F.sum(F.when(is_train, F.col("total"))) / F.sum(F.when(is_train, n))).alias("m")
+    split = rows.groupBy("split_id").agg(mean)
+    tests = rows.where(is_test).join(F.broadcast(split), "split_id")  # a row a split
+    error = n * (F.col("var") + (F.col("mean") - F.col("m")) * (F.col("mean") - F.col("m")))
+    return tests.groupBy("split_id").agg(F.sum("rows").alias("n_test"), F.round(F.sqrt(F.sum(error) / F.sum("rows")), 6).alias("rmse"))
 
 
 def panel_rmse_summary(spark, sf_dir):
@@ -251,6 +263,27 @@ def best_trial(spark, sf_dir):
     return metrics.best_trial(_trials(spark, sf_dir), maximize=False)
 
 
+def trial_summaries(spark, sf_dir):
+    """Customers as trials with their orders as folds: mean, deviation and number of the scores of each."""
+    df = _orders(spark, sf_dir, "o_custkey", "o_totalprice")
+    trials = df.groupBy(F.concat(F.lit("study_"), (F.col("o_custkey") % 8).cast("string")).alias("study_name"), F.col("o_custkey").cast("int").alias("trial_number")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda x: x["o_totalprice"]).alias("scores"))
+    out = metrics.fold_summary(runs.fold_artifact(trials), "score", "study_name", "trial_number")
+    return out.select("study_name", "trial_number", F.round("metric_mean", 6).alias("metric_mean"), F.round("metric_std", 6).alias("metric_std"), "n_folds")
+
+
+def latest_states(spark, sf_dir):
+    """Events as the log of trials, a trial a user: the state that counts is the last one."""
+    log = _events(spark, sf_dir, "user_id", "event_type").select(F.lit("s").alias("study_name"), F.col("user_id").cast("int").alias("trial_number"), F.col("event_type").alias("state"), F.col("event_id").alias("at"))
+    return runs.latest(log)
+
+
+def routed_features(spark, sf_dir):
+    """Columns of few values as they are, the others by the mean of their category."""
+    df = _orders(spark, sf_dir, "o_orderpriority", "o_orderstatus", "o_totalprice")
+    router = features.FeatureRouter(features.Features((), ("o_orderstatus", "o_orderpriority")), "o_totalprice", 4, False).fit(df)
+    return router.transform(df).select("o_orderkey", "o_orderstatus", F.round("o_orderpriority", 4).alias("priority_enc"))
+
+
 def gbt_holdout(spark, sf_dir):
     """A small boosted model of the order price: the rows of the test side with their predictions."""
     df = splits.random_split(_priced(spark, sf_dir), ["o_orderkey"], SEED).persist()
@@ -265,7 +298,7 @@ _NAMES = """split_random_rows split_random_counts split_temporal_rows split_temp
 kfold_assign kfold_shuffled stratified_assign stratified_balance walkforward_expanding walkforward_rolling walkforward_embargo
 group_kfold_assign group_kfold_overlap cpcv_roles panel_cpcv_roles panel_timestamp_overlap panel_mean_rmse panel_rmse_summary
 cardinalities encoder_routing select_features target_encode_full target_encode_oof logical_hash auc_midrank point_metrics
-fold_metric_summary holdout_stats holdout_times plan_sizes runs_union runs_compare state_counts best_trial gbt_holdout""".split()
+fold_metric_summary holdout_stats holdout_times plan_sizes runs_union runs_compare state_counts best_trial trial_summaries latest_states routed_features gbt_holdout""".split()
 
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -378,6 +411,12 @@ SELECT round((sum(CASE WHEN y = 1 THEN k END) - any_value(pos) * (any_value(pos)
     "plan_sizes": f"WITH {_purged(_EVENTS, 5, '4', 'floor(n * 0.01)')} SELECT CAST(split_id AS INT) AS split_id, role, count(*) AS n FROM roles GROUP BY ALL",
     "runs_union": f"WITH {_TRIALS} SELECT study_name, trial_number, state, CASE WHEN study_name <> 'study_1' THEN value END AS value FROM t",
     "runs_compare": f"WITH {_TRIALS} SELECT study_name, trial_number, state, value, CAST(o_orderkey % 9 AS VARCHAR) AS params_depth, CAST(o_custkey % 4 AS VARCHAR) AS params_rate, 'rmse' AS attrs_metric FROM t",
+    "trial_summaries": "SELECT 'study_' || (o_custkey % 8) AS study_name, CAST(o_custkey AS INT) AS trial_number, round(avg(o_totalprice), 6) AS metric_mean, round(stddev_pop(o_totalprice), 6) AS metric_std, count(*) AS n_folds FROM orders GROUP BY o_custkey",
+    "latest_states": "SELECT 's' AS study_name, CAST(user_id AS INT) AS trial_number, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "routed_features": f"""
+WITH g AS (SELECT avg(o_totalprice) AS prior FROM orders),
+p AS (SELECT o_orderpriority, {_SMOOTH} * m + (1 - {_SMOOTH}) * prior AS enc FROM (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1), g)
+SELECT o_orderkey, o_orderstatus, round(enc, 4) AS priority_enc FROM orders JOIN p USING (o_orderpriority)""",
     "state_counts": f"WITH {_TRIALS} SELECT state, count(*) AS trials FROM t GROUP BY state",
     "best_trial": f"WITH {_TRIALS} SELECT study_name, trial_number, value FROM t WHERE state = 'COMPLETE' QUALIFY row_number() OVER (PARTITION BY study_name ORDER BY value, trial_number) = 1",
 }
