@@ -17,8 +17,9 @@ STAGES = [
     ("sharding", sharding.shard_stage),
 ]
 
-#: Models, sketches and hashed samples are not expressible in SQL. Near-duplicates are tested against brute force and
-#: decontamination against planted items; toxicity, mixing and sharding by their properties; the chain as a whole is not.
+#: Models, sketches and hashed samples are not expressible in SQL. Near-duplicates are tested against brute force,
+#: decontamination against planted items, sharding against its network in plain numbers; toxicity by held-out rows and
+#: mixing by its targets; the chain as a whole by what each stage keeps of the one before, in tests/llm/test_edges.py.
 ORACLE_SQL = None
 
 
