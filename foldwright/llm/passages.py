@@ -25,6 +25,12 @@ AGREE = 2
 #: Shingles without a partner that a passage may hold in a row, from the longest stretch tried to the plainest: a
 #: changed word spoils 5, two near ones 10.
 GAPS = (12, 5, 0)
+#: Of a stretch of the shortest passage's length, the share of different shingles that other classes hold; and how often
+#: the stretches are screened for it, as each time fewer of them hold a shingle.
+OPEN_SHARE = 0.6
+SCREENS = 1
+#: How often the members of a list meet one of its largest class, before those still outside meet all.
+STARS = 1
 #: Lists of documents up to this length give all their pairs; longer ones are compared in blocks of about so many
 #: documents or shingles.
 SHORT_LIST = 32
@@ -236,13 +242,12 @@ def verified(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     return full.select("a", "b", "spots", "a_from", "b_from", "a_seq", "b_seq").mapInArrow(verify, schema).distinct()
 
 
-def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
-    """(list, doc, comp, lo, hi): lists of documents of several components that AGREE (two) functions hold together.
+def open_stretches(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
+    """(doc, comp, los, his): stretches of documents that AGREE (two) functions hold together with another component.
 
-    A group all of whose documents are in one component is settled. Of the others, each document gives one entry for two
-    groups of different functions whose windows overlap by ``least`` shingles; two documents that agree twice at one
-    place meet in such a list. lo to hi is the stretch of the document that both windows cover. Of lists with the same
-    stretches one stays.
+    A group all of whose documents are in one component is settled. Of the others, two windows of different functions
+    that overlap by ``least`` shingles give a stretch of the document; stretches that touch are one. Two documents of
+    different components that agree twice at one place have it in such a stretch each.
     """
     names = comp.select(F.col("node").alias("n"), "comp")
     of = lambda rows, side: rows.join(sized(names), F.col(side) == F.col("n"), "left").withColumn(f"c{side}", F.coalesce("comp", side)).drop("n", "comp")
@@ -254,11 +259,12 @@ def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
     members = rows.select(F.col("b").alias("doc"), F.col("cb").alias("comp"), "group", "lo", "hi").unionAll(firsts.select("a", "ca", "group", "a_lo", "a_hi"))
     per = members.groupBy("doc", "comp").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "group"))).alias("x"))
     kind = star.schema["b"].dataType
-    schema = T.StructType([T.StructField("list", T.LongType()), T.StructField("doc", kind), T.StructField("comp", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("comp", kind), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("los", "his"))])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, x = np.asarray(batch.column(2).offsets), batch.column(2).values
+            have, ends = [], ([], [])
             for d in range(batch.num_rows):
                 lo, hi, group = (np.asarray(x.field(i))[offsets[d] : offsets[d + 1]] for i in range(3))
                 group = group.view(np.uint64)
@@ -270,70 +276,136 @@ def open_lists(star: DataFrame, comp: DataFrame, least: int) -> DataFrame:
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                u, v, at, to = np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), lo[j], np.minimum(hi[i], hi[j])
-                name = finish(u * np.uint64(3) + finish(v))
-                once = np.unique(name ^ finish(at.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-                name, at, to = name[once], at[once], to[once]
-                same = pa.array(np.full(len(at), d))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(c.astype(np.int32)) for c in (at, to))], names=schema.names)
+                order = np.argsort(lo[j])
+                at, reach = lo[j][order], np.maximum.accumulate(np.minimum(hi[i], hi[j])[order])
+                cuts = np.flatnonzero(at[1:] > reach[:-1] + 1)
+                have.append(d)
+                ends[0].append(at[np.concatenate(([0], cuts + 1))].tolist())
+                ends[1].append(reach[np.concatenate((cuts, [len(at) - 1]))].tolist())
+            at = pa.array(have, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(e, pa.list_(pa.int32())) for e in ends)], names=schema.names)
 
-    lists = materialize(per.mapInArrow(combine, schema), "passage-lists")
-    return distinct_lists(lists)
+    return materialize(per.mapInArrow(combine, schema), "passage-stretches")
 
 
-def distinct_lists(lists: DataFrame) -> DataFrame:
-    """``lists`` with their size, without those of one component; of lists of the same stretches the first stays."""
-    per = lists.groupBy("list").agg(
-        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc", "lo", "hi").cast("decimal(20,0)")).alias("s0"), F.sum(F.hash("doc", "lo", "hi").cast("long")).alias("s1")
-    )
-    kept = per.where("c0 <> c1").groupBy("size", "s0", "s1").agg(F.min("list").alias("list"))
-    return materialize(join_counted(lists, materialize(kept.select("list", "size"), "passage-kept"), "list", "size", lists.count()), "passage-meet")
-
-
-def refined(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """The same as ``open_lists``, by single shingles: for the documents of long lists, such as those of a common line.
+def stretch_shingles(stretches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(comp, doc, lo, seq): the hashes of the shingles of each stretch, in order.
 
-    A token is a shingle and its how-manyeth in the stretch. Only tokens of several components can link two of them, and
-    linked stretches share ``fewest_shared`` tokens, so a stretch with fewer open tokens has no link, and else its link
-    shows in one of its tokens but the last fewest_shared - 1, the rare ones first (prefix filter). Lines shorter than a
-    passage so make no lists.
+    Of a component's stretches with the same words the first stays: the others link to no other document.
     """
-    stretches = lists.select("doc", "comp", "lo", "hi").distinct()
-    seqs = sequences(only(docs, stretches.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
-    rows = stretches.join(seqs, "doc").withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
-    kind = lists.schema["doc"].dataType
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("doc", kind), T.StructField("comp", kind), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+    rows = docs.join(sized(stretches), docs["key"] == F.col("doc")).select("doc", "comp", "los", "his", "text")
+    kind = stretches.schema["doc"].dataType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("comp", kind), T.StructField("lo", T.IntegerType()), T.StructField("seq", T.ArrayType(T.LongType()))])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, seq = np.asarray(batch.column(4).offsets), np.asarray(batch.column(4).values)
-            seq = seq[offsets[0] : offsets[-1]].astype(np.uint32).astype(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            order = np.lexsort((seq, row))
-            new = np.concatenate(([True], (seq[order][1:] != seq[order][:-1]) | (row[order][1:] != row[order][:-1])))[: len(order)]
-            turn = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            token = finish(seq[order] * np.uint64(1 << 32) + turn.astype(np.uint64)).view(np.int64)
-            at = pa.array(row[order])
-            yield pa.RecordBatch.from_arrays([pa.array(token), *(batch.column(i).take(at) for i in range(4))], names=schema.names)
-
-    every = materialize(rows.mapInArrow(tokens, schema), "passage-tokens")
-    where = ["doc", "comp", "lo", "hi"]
-
-    found = every.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+            ends, los, his = np.asarray(batch.column(2).offsets), np.asarray(batch.column(2).values), np.asarray(batch.column(3).values)
+            for row, end, data, offsets in chunks(batch.column(4)):
+                hashes, at, _, _ = shingles(data, offsets)
+                n = np.diff(ends[row : end + 1])
+                of = np.repeat(np.arange(end - row), n)
+                lo, hi = (x[ends[row] : ends[end]] for x in (los, his))
+                cut = [hashes[x:y].view(np.int64) for x, y in zip(at[of] + lo, np.minimum(at[of] + hi + 1, at[of + 1]), strict=True)]
+                sizes = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int32)
+                seq = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, np.int64), *cut])))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, end - row).take(pa.array(of)) for i in (0, 1)), pa.array(lo), seq], names=schema.names)
+
+    rows = rows.mapInArrow(run, schema)
+    once = rows.groupBy("comp", F.xxhash64("seq").alias("words")).agg(F.min(F.struct("doc", "lo", "seq")).alias("first"))
+    return materialize(once.select("comp", "first.*"), "passage-shingles")
+
+
+def distinct_counts(seq: np.ndarray, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each stretch of ``least`` places has, and how many of them are ``held``."""
+    n = len(seq) - least + 1
+    order = np.argsort(seq, kind="stable")
+    before = np.full(len(seq), -1)
+    again = np.flatnonzero(seq[order][1:] == seq[order][:-1])
+    before[order[again + 1]] = order[again]
+    place = np.arange(len(seq))
+    # the first place of a shingle counts in the stretches that begin after the place before
+    first, last = np.maximum(before + 1, np.maximum(place - least + 1, 0)), np.minimum(place, n - 1)
+    out = []
+    for ok in (first <= last, (first <= last) & held):
+        out.append(np.cumsum(np.bincount(first[ok], minlength=n + 1) - np.bincount(last[ok] + 1, minlength=n + 1))[:n])
+    return out[0], out[1]
+
+
+def probes_of(rank: np.ndarray, fewest: int, least: int) -> np.ndarray:
+    """Ranks that are among the rarest but fewest - 1 of the open ones of some ``least`` places; a closed place has the
+    highest rank there can be."""
+    closed = np.iinfo(rank.dtype).max
+    spans = np.lib.stride_tricks.sliding_window_view(rank, least)
+    spans = spans[(spans != closed).sum(axis=1) >= fewest]
+    low = np.sort(spans, axis=1)
+    n = (spans != closed).sum(axis=1) - (fewest - 1)
+    return np.unique(low[np.arange(least)[None, :] < n[:, None]])
+
+
+def screened(rows: DataFrame, least: int) -> DataFrame:
+    """The stretches that can link to another component: (comp, doc, lo, seq) with their open shingles and ``need``.
+
+    Only shingles of several components are open. A passage has MIN_SIMILARITY of its shingles from the other text, so
+    some ``least`` places in a row have at least OPEN_SHARE: what is changed may lie in the middle of a longer passage.
+    It shares MIN_SIMILARITY of the shingles of ``least`` places at least. ``held`` begins with the rarest. ``probes``: of
+    two linked stretches that repeat no shingle, the passage of one is not longer than the other's and has 8 / 9 of its
+    shingles from there, so some ``least`` places of it have all but a tenth of 2 * ``least`` (misses_at_best), and the
+    rarest of these is among the rarest open ones of these places. Where shingles repeat, all are probes.
+    """
+    each = rows.select("comp", "doc", "lo", F.explode(F.array_distinct("seq")).alias("token"))
+    found = each.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     found = materialize(found.select("token", "size"), "passage-open-tokens")
-    held = join_counted(every, found, "token", "size", every.count()).groupBy(*where).agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("held"))
-    first = F.size("held") - (fewest_shared(least) - 1)
-    held = held.where(first > 0).select(*where, F.explode(F.slice("held.token", F.lit(1), first)).alias("token"))
-    return distinct_lists(materialize(held.withColumnRenamed("token", "list"), "passage-prefixes"))
+    held = each.join(sized(found), "token").groupBy("doc", "lo").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("held"))
+    held = materialize(held.select("doc", "lo", F.col("held.token").alias("held")), "passage-held")
+    full = rows.join(held, ["doc", "lo"]).select("comp", "doc", "lo", "seq", "held")
+    schema = T.StructType([*full.schema.fields, T.StructField("probes", T.ArrayType(T.LongType()))])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (seq_at, seqs), (held_at, tokens) = ((np.asarray(batch.column(i).offsets), np.asarray(batch.column(i).values)) for i in (3, 4))
+            keep, probes = [], []
+            for r in range(batch.num_rows):
+                seq, held = seqs[seq_at[r] : seq_at[r + 1]], tokens[held_at[r] : held_at[r + 1]]
+                order = np.argsort(held)
+                if len(seq) < least:
+                    continue
+                rank = order[np.minimum(np.searchsorted(held, seq, sorter=order), len(held) - 1)]
+                rank = np.where(held[rank] == seq, rank, np.iinfo(rank.dtype).max)
+                every, those = distinct_counts(seq, rank < len(held), least)
+                fewest = int(np.ceil(MIN_SIMILARITY * every.min() - 1e-9))
+                if len(held) >= fewest and (those >= OPEN_SHARE * every).any():
+                    keep.append(r)
+                    once = len(np.unique(seq)) == len(seq)
+                    probes.append(held[probes_of(rank, least - misses_at_best(least), least)] if once else held)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(probes, pa.list_(pa.int64()))], names=schema.names)
 
+    return materialize(full.mapInArrow(screen, schema), "passage-screened")
 
-def one_of_equals(lists: DataFrame, docs: DataFrame) -> DataFrame:
-    """``lists`` with one of the documents of a component whose stretches have the same words: the others link no more."""
-    seqs = sequences(only(docs, lists.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
-    words = lists.select("doc", "lo", "hi").distinct().join(seqs, "doc")
-    words = materialize(words.select("doc", "lo", "hi", F.xxhash64(F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("words")), "passage-words")
-    first = F.min(F.struct("doc", "lo", "hi")).alias("first")
-    return lists.join(words, ["doc", "lo", "hi"]).groupBy("list", "comp", "words").agg(first).select("list", "comp", "first.*")
+
+def misses_at_best(least: int) -> int:
+    """Shingles that some ``least`` places in a row of the shorter of two linked passages have not in common, at most.
+
+    Of n places a ninth differ at most (at the similarity of 0.8). They can lie in all stretches of ``least`` places only
+    where the first and the last such stretch overlap by as many, which ends at n = 2 * least / (1 + 1 / 9).
+    """
+    share = (1 - MIN_SIMILARITY) / (1 + MIN_SIMILARITY)
+    return int(np.floor(2 * least * share / (1 + share) + 1e-9))
+
+
+def token_lists(rows: DataFrame) -> DataFrame:
+    """(list, doc, comp, lo, hi, probe): the stretches of ``screened`` that hold an open shingle that is a probe of one."""
+    rows = rows.select("doc", "comp", "lo", (F.col("lo") + F.size("seq") - 1).alias("hi"), "probes", F.explode("held").alias("list"))
+    rows = rows.withColumn("probe", F.array_contains("probes", F.col("list"))).drop("probes")
+    return distinct_lists(materialize(rows, "passage-lists"))
+
+
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """``lists`` with their size, without those of one component or without a probe; of lists of the same stretches the first stays."""
+    per = lists.groupBy("list").agg(
+        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc", "lo", "hi", "probe").cast("decimal(20,0)")).alias("s0"), F.sum(F.hash("doc", "lo", "hi", "probe").cast("long")).alias("s1"), F.max("probe").alias("probe")
+    )
+    kept = per.where("c0 <> c1 AND probe").groupBy("size", "s0", "s1").agg(F.min("list").alias("list"))
+    return materialize(join_counted(lists, materialize(kept.select("list", "size"), "passage-kept"), "list", "size", lists.count()), "passage-meet")
 
 
 def with_largest(lists: DataFrame) -> DataFrame:
@@ -346,34 +418,68 @@ def with_largest(lists: DataFrame) -> DataFrame:
     return materialize(join_counted(lists, materialize(per.where("outside > 0"), "passage-tops"), "list", "size", lists.count()), "passage-lists-top")
 
 
+def _pair_columns(far: str) -> list:
+    """(list, far, a, b, a_lo, a_hi, lo, hi) of two stretches x and y that met, in order of their documents."""
+    low = F.col("x_doc") < F.col("y_doc")
+    pick = lambda c, first: F.when(low == F.lit(first), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
+    ends = [pick("lo", True).alias("a_lo"), pick("hi", True).alias("a_hi"), pick("lo", False).alias("lo"), pick("hi", False).alias("hi")]
+    return [F.col("list"), F.col(far).alias("far"), pick("doc", True).alias("a"), pick("doc", False).alias("b"), *ends]
+
+
+def _each_once(pairs: DataFrame, label: str) -> DataFrame:
+    """(list, far, a, b, a_from, a_to, spots): each pair of documents once, with the first of its lists."""
+    spot = F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")
+    per = pairs.groupBy("a", "b").agg(F.min(F.struct("list", "far")).alias("at"), F.min("a_lo").alias("a_from"), F.max("a_hi").alias("a_to"), F.collect_set(spot).alias("spots"))
+    return materialize(per.select("at.list", "at.far", "a", "b", "a_from", "a_to", "spots"), label)
+
+
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """The pairs, as of ``list_pairs``, of each outsider of a list with one stretch of the list's largest component.
+
+    Which one hangs on the list, so an outsider that shares many shingles meets many others. There are no more pairs than
+    entries of lists.
+    """
+    lists = with_largest(lists.drop("size"))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "lo", "hi")]
+    one = lists.where(F.col("comp") == F.col("top")).groupBy("list").agg(F.min(F.struct(F.xxhash64("list", "doc", "lo").alias("h"), "doc", "lo", "hi")).alias("y"))
+    met = lists.where(F.col("comp") != F.col("top")).select("list", "top", *side("x")).join(one.select("list", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("doc", "lo", "hi"))), "list")
+    return _each_once(met.withColumn("list", F.xxhash64("top")).select(*_pair_columns("x_doc")), "passage-star-pairs")
+
+
+def joined(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """``rows`` of ``screened`` with the components that ``hits`` between their documents join."""
+    comp = rows.select("doc", "comp").distinct()
+    links = hits.select("key", "match").join(comp.select(F.col("doc").alias("key"), F.col("comp").alias("x")), "key").join(comp.select(F.col("doc").alias("match"), F.col("comp").alias("y")), "match")
+    new = components(links.select("x", "y"), "x", "y").select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return rows.join(sized(new), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+
+
 def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(list, far, a, b, a_from, a_to, spots) of documents of different components that share a list, each pair once.
+    """(list, far, a, b, a_from, a_to, spots) of documents of different components that share a list, in
+    which one of them has a probe, each pair once.
 
     Of the pair's lists the first is given, and ``far`` is the document that the list's outsider met. The places to be
     compared are a_from to a_to of a, and the spots of b, as lo * 2 ** 32 + hi.
 
-    Where few documents are outside a list's largest component, they are joined with the list. Other lists are refined;
-    those that then still have many are cut into blocks by hash, of which the outsiders' meet each other and the largest
-    component's. Two blocks are a group of their own, which gives only the pairs with shingles enough in common.
+    Where few documents are outside a list's largest component, they are joined with the list. Other lists are cut into
+    blocks by hash, of which the outsiders' meet each other and the largest component's. Two blocks are a group of their
+    own, which gives only the pairs with shingles enough in common.
     """
-    lists = with_largest(materialize(one_of_equals(lists, docs), "passage-once"))
+    lists = with_largest(lists.drop("size"))
     wide = F.col("outside") > SHORT_LIST
-    more = with_largest(refined(lists.where(wide), docs, least).drop("size"))
-    near = lists.where(~wide).unionByName(more.where(~wide))
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "comp", "lo", "hi")]
+    near = lists.where(~wide)
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "comp", "lo", "hi", "probe")]
     outsiders = near.where(F.col("comp") != F.col("top")).select("list", *side("x"))
-    met = outsiders.join(near.select("list", *side("y")), "list").where((F.col("x_doc") != F.col("y_doc")) & (F.col("x_comp") != F.col("y_comp")))
-    low = F.col("x_doc") < F.col("y_doc")
-    pick = lambda c, first: F.when(low == F.lit(first), F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
-    pairs = met.select("list", F.col("y_doc").alias("far"), pick("doc", True).alias("a"), pick("doc", False).alias("b"), pick("lo", True).alias("a_lo"), pick("hi", True).alias("a_hi"), pick("lo", False).alias("lo"), pick("hi", False).alias("hi"))
-    long = more.where(wide)
+    met = outsiders.join(near.select("list", *side("y")), "list").where((F.col("x_doc") != F.col("y_doc")) & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_probe") | F.col("y_probe")))
+    pairs = met.select(*_pair_columns("y_doc"))
+    long = lists.where(wide)
     if long.limit(1).count():
         seqs = sequences(only(docs, long.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
         outsider = F.col("comp") != F.col("top")
         block = F.when(outsider, F.pmod(F.hash("doc"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.hash("doc"), F.col("inner")))
         others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
         tiles = long.withColumn("mine", block).withColumn("other", F.explode(others))
-        tiles = tiles.select("list", "doc", "comp", "lo", "hi", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
+        tiles = tiles.select("list", "doc", "comp", "lo", "hi", "probe", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
         tiles = tiles.withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
         kind = docs.schema["key"].dataType
         schema = T.StructType([T.StructField("list", T.LongType()), T.StructField("far", kind), T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.IntegerType()) for c in ("a_lo", "a_hi", "lo", "hi"))])
@@ -381,7 +487,8 @@ def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
         def compare(group: pd.DataFrame) -> pd.DataFrame:
             cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
             i, j = tile_pairs(group["comp"].to_numpy(), [np.asarray(s, np.int32) for s in group["seq"]], cross, least)
-            doc = group["doc"].to_numpy()
+            doc, probe = group["doc"].to_numpy(), group["probe"].to_numpy(bool)
+            i, j = i[probe[i] | probe[j]], j[probe[i] | probe[j]]
             i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
             lo, hi = group["lo"].to_numpy(), group["hi"].to_numpy()
             # the pairs of a tile stay together
@@ -389,9 +496,7 @@ def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
             return pd.DataFrame({"list": np.full(len(i), tile, np.int64), "far": doc[j], "a": doc[i], "b": doc[j], "a_lo": lo[i], "a_hi": hi[i], "lo": lo[j], "hi": hi[j]})
 
         pairs = pairs.unionAll(tiles.groupBy("list", "x", "y").applyInPandas(compare, schema))
-    spot = F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")
-    per = pairs.groupBy("a", "b").agg(F.min(F.struct("list", "far")).alias("at"), F.min("a_lo").alias("a_from"), F.max("a_hi").alias("a_to"), F.collect_set(spot).alias("spots"))
-    return materialize(per.select("at.list", "at.far", "a", "b", "a_from", "a_to", "spots"), "passage-more-pairs")
+    return _each_once(pairs, "passage-more-pairs")
 
 
 def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -399,10 +504,10 @@ def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
 
     A document's shingles go once to each group of TILE_PAIRS pairs of a list, not once to each pair: pairs grow with the
     product of a list's outsiders and members, what is shuffled with their sum. Pairs with too few shingles in common
-    fall out by one matrix product a group.
+    fall out first.
     """
     per = pairs.groupBy("list").agg(F.ceil(F.count("*") / F.lit(TILE_PAIRS)).cast("int").alias("blocks"))
-    pairs = materialize(pairs.join(sized(materialize(per, "passage-blocks")), "list").withColumn("block", F.pmod(F.hash("far"), F.col("blocks"))).drop("far", "blocks"), "passage-tiles")
+    pairs = materialize(pairs.join(sized(materialize(per, "passage-blocks")), "list").withColumn("block", F.pmod(F.hash("far"), F.col("blocks"))).drop("blocks"), "passage-tiles")
     spots = lambda f, part: f(F.transform("spots", part)).cast("int")
     first, last = spots(F.array_min, lambda x: F.shiftright(x, 32)), spots(F.array_max, lambda x: x.bitwiseAND(F.lit(2**32 - 1)))
     ends = pairs.select("list", "block", F.col("a").alias("doc"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi")).unionAll(pairs.select("list", "block", "b", first, last))
@@ -420,7 +525,8 @@ def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
         i, j = at.get_indexer(pairs["a"]), at.get_indexer(pairs["b"])
         a_from, a_to, spots = pairs["a_from"].to_numpy(), pairs["a_to"].to_numpy(), pairs["spots"].to_numpy()
         out = []
-        for n in np.flatnonzero(may_match(seqs, least)[i, j]):
+        mine = at.get_indexer(pairs["far"])
+        for n in np.flatnonzero(pairs_may_match(seqs, mine, i + j - mine, least)):
             a_seq = seqs[i[n]][a_from[n] - lo[i[n]] : a_to[n] - lo[i[n]] + 1]
             spot = np.asarray(spots[n], np.int64)
             for start, end in merged(spot >> 32, spot & (2**32 - 1)):
@@ -454,6 +560,46 @@ def may_match(seqs: list[np.ndarray], least: int) -> np.ndarray:
     return (both >= fewest_shared(least)) | ((both > 0) & ~(plain[:, None] & plain[None, :]))
 
 
+def pairs_may_match(seqs: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """The same for the pairs of stretches x and y alone, where x repeats; their shingles are small numbers.
+
+    Of two stretches that repeat no shingle, one must have ``least`` places with but misses_at_best that the other lacks.
+    """
+    sizes = np.array([len(s) for s in seqs])
+    plain = np.array([len(np.unique(s)) for s in seqs]) == sizes
+    out = np.zeros(len(x), bool)
+    place = np.full(max((int(s.max()) for s in seqs if len(s)), default=0) + 1, -1)
+    order = np.argsort(x, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(x[order])) + 1):
+        if not len(group):
+            continue
+        one = x[group[0]]
+        n = sizes[one]
+        place[seqs[one]] = np.arange(n)
+        # parts of bounded size
+        for part in np.split(group, np.arange(1, len(group) * (n + 1) // (1 << 20) + 1) * max((1 << 20) // (n + 1), 1)):
+            if not len(part):
+                continue
+            others = np.concatenate([seqs[k] for k in y[part]])
+            starts = np.concatenate(([0], np.cumsum(sizes[y[part]])))
+            row = np.repeat(np.arange(len(part)), sizes[y[part]])
+            at = place[others]
+            held = np.concatenate(([0], np.cumsum(at >= 0)))
+            both = np.diff(held[starts])
+            best = np.zeros(len(part), np.int64)
+            first = np.flatnonzero(starts[row + 1] - np.arange(len(others)) >= least)
+            np.maximum.at(best, row[first], held[first + least] - held[first])
+            if n >= least:
+                here = np.zeros((len(part), n + 1), np.int32)
+                here[row[at >= 0], at[at >= 0] + 1] = 1
+                here = np.cumsum(here, axis=1)
+                best = np.maximum(best, (here[:, least:] - here[:, :-least]).max(axis=1))
+            once = plain[one] & plain[y[part]]
+            out[part] = np.where(once, (both >= fewest_shared(least)) & (best >= least - misses_at_best(least)), both > 0)
+        place[seqs[one]] = -1
+    return out
+
+
 def tile_pairs(comps: np.ndarray, seqs: list[np.ndarray], cross: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the stretches of different components that have shingles enough in common for a passage."""
     ok = may_match(seqs, least) & (comps[:, None] != comps[None, :])
@@ -470,7 +616,7 @@ def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     gets one row for its whole text if that has ``least`` shingles. Of the others, every window meets the first window
     with its min-hash; pairs on which AGREE functions agree at one place are compared on the shingles. Where documents of
     a min-hash are then still in several classes, all pairs of different classes that agree twice are compared, too
-    (``open_lists``), so no link between classes is left out; inside a class, only the pairs that made it are returned.
+    (``open_stretches``), so no link between classes is left out; inside a class, only the pairs that made it are returned.
     The rows do not hang on partitions or batches. Null, empty and short texts have no passage; rows with a null key take
     no part; rows of one key count once. No rows, no rows; other columns are ignored.
     """
@@ -483,7 +629,19 @@ def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     spots = F.collect_list(F.struct(F.col("group").bitwiseAND(F.lit(7)).cast("int").alias("k"), "lo", "hi", "a_lo", "a_hi"))
     pairs = star.groupBy("a", "b").agg(spots.alias("spots")).where(F.size(F.array_distinct("spots.k")) >= AGREE)
     hits = materialize(verified(materialize(pairs, "passage-pairs"), docs, least), "passage-hits")
-    lists = open_lists(star, components(hits, "key", "match"), least)
+    rows = stretch_shingles(open_stretches(star, components(hits, "key", "match"), least), docs)
+    for _ in range(SCREENS):
+        rows = screened(rows.select("comp", "doc", "lo", "seq"), least)
+    lists = token_lists(rows)
+    for _ in range(STARS):
+        if not lists.limit(1).count():
+            break
+        more = materialize(tile_hits(star_pairs(lists), docs, least), "passage-star-hits")
+        if not more.limit(1).count():
+            break
+        hits = hits.unionAll(more)
+        rows = screened(joined(rows, more).select("comp", "doc", "lo", "seq"), least)
+        lists = token_lists(rows)
     if lists.limit(1).count():
         hits = hits.unionAll(materialize(tile_hits(list_pairs(lists, docs, least), docs, least), "passage-more-hits")).distinct()
     sizes = sequences(only(docs, copies.select(F.col("rep").alias("key")))).select(F.col("key").alias("rep"), F.size("seq").alias("n")).where(F.col("n") >= least).dropDuplicates(["rep"])

@@ -76,3 +76,34 @@ def test_degenerate_tables(spark):
     got = {(r.key, r.match, r.class_id) for r in passages.near_passages(docs).collect()}
     assert got == {(2, 1, 1), (7, 6, 6)}
     assert passages.near_passages(docs.where("doc_id IN (3, 4, 5)")).count() == 0
+
+
+def test_documents_that_share_only_a_run_of_one_word_are_not_compared(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("pairs were listed")
+
+    monkeypatch.setattr(passages, "list_pairs", never)
+    rng = random.Random(7)
+    own = lambda: [f"o{rng.randrange(10**9)}" for _ in range(20)]
+    rows = [(k, " ".join(own() + ["the"] * 45 + own())) for k in range(12)]
+    assert passages.near_passages(spark.createDataFrame(rows, DOCS)).count() == 0
+
+
+def test_the_screen_of_pairs_loses_no_link():
+    rng = np.random.default_rng(1)
+    links = 0
+    for _ in range(60):
+        seqs = []
+        for _ in range(6):
+            s = np.arange(rng.integers(46, 140))
+            changed = rng.random(len(s)) < rng.choice([0.02, 0.08, 0.12])
+            s[changed] = 1000 + rng.integers(0, 10**6, changed.sum())
+            seqs.append(s)
+        codes = np.unique(np.concatenate(seqs), return_inverse=True)[1]
+        seqs = np.split(codes, np.cumsum([len(s) for s in seqs])[:-1])
+        i, j = np.triu_indices(6, 1)
+        for a, b, kept in zip(i, j, passages.pairs_may_match(seqs, i, j, 46), strict=True):
+            found = bool(passages.matches(seqs[a], seqs[b]))
+            links += found
+            assert kept or not found
+    assert links > 50
