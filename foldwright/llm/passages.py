@@ -25,15 +25,13 @@ AGREE = 2
 #: Shingles without a partner that a passage may hold in a row, from the longest stretch tried to the plainest: a
 #: changed word spoils 5, two near ones 10.
 GAPS = (12, 5, 0)
-#: Of a stretch of the shortest passage's length, the share of different shingles that other classes hold; and how often
-#: the stretches are screened for it, as each time fewer of them hold a shingle.
-OPEN_SHARE = 0.6
+#: How often the stretches are screened for shingles that other classes hold, as each time fewer of them hold a shingle.
 SCREENS = 1
 #: How often the members of a list meet one of its largest class, before those still outside meet all.
 STARS = 1
-#: Lists of documents up to this length give all their pairs; longer ones are compared in blocks of about so many
-#: documents or shingles.
-SHORT_LIST = 32
+#: Lists of so many pairs at most, of its outsiders and all its documents, give them as rows; longer ones are compared in
+#: blocks of about so many documents or shingles.
+SHORT_LIST = 1024
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 18
 #: Pairs of one list that a task compares at once; a list of more is dealt over several groups.
@@ -318,11 +316,7 @@ def stretch_shingles(stretches: DataFrame, docs: DataFrame) -> DataFrame:
 def distinct_counts(seq: np.ndarray, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """How many distinct shingles each stretch of ``least`` places has, and how many of them are ``held``."""
     n = len(seq) - least + 1
-    order = np.argsort(seq, kind="stable")
-    before = np.full(len(seq), -1)
-    again = np.flatnonzero(seq[order][1:] == seq[order][:-1])
-    before[order[again + 1]] = order[again]
-    place = np.arange(len(seq))
+    before, place = before_of(seq), np.arange(len(seq))
     # the first place of a shingle counts in the stretches that begin after the place before
     first, last = np.maximum(before + 1, np.maximum(place - least + 1, 0)), np.minimum(place, n - 1)
     out = []
@@ -331,80 +325,136 @@ def distinct_counts(seq: np.ndarray, held: np.ndarray, least: int) -> tuple[np.n
     return out[0], out[1]
 
 
-def probes_of(rank: np.ndarray, fewest: int, least: int) -> np.ndarray:
-    """Ranks that are among the rarest but fewest - 1 of the open ones of some ``least`` places; a closed place has the
-    highest rank there can be."""
+def before_of(seq: np.ndarray) -> np.ndarray:
+    """The place before of each place's shingle, or -1."""
+    order = np.argsort(seq, kind="stable")
+    before = np.full(len(seq), -1)
+    again = np.flatnonzero(seq[order][1:] == seq[order][:-1])
+    before[order[again + 1]] = order[again]
+    return before
+
+
+def roles(seq: np.ndarray, rank: np.ndarray, n_held: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(few, probe) of the open shingles of a stretch, by rank; closed places have the highest rank there can be.
+
+    ``few`` is the least number of different shingles of a passage that can link and hold the shingle, 0 for none;
+    ``least`` stands for that and more. ``probe`` is the largest such number for which the shingle is a probe, 0 for none.
+
+    Of a passage at least MIN_SIMILARITY of the different shingles are open, and of the one of two linked passages that has
+    fewer different ones 8 / 9 are shared. Of a passage of ``least`` different shingles or more, take the first place of
+    each: some ``least`` of these in a row lack misses_at_best at most. Which places are first hangs on where the passage
+    begins, but those that are first in the stretch always are, so the row ends at the ``least``-th of them. Of a passage
+    of fewer different shingles, all count. The rarest open ones beyond those that may be missed are the probes.
+    """
     closed = np.iinfo(rank.dtype).max
-    spans = np.lib.stride_tricks.sliding_window_view(rank, least)
-    spans = spans[(spans != closed).sum(axis=1) >= fewest]
-    low = np.sort(spans, axis=1)
-    n = (spans != closed).sum(axis=1) - (fewest - 1)
-    return np.unique(low[np.arange(least)[None, :] < n[:, None]])
+    few, probe = np.zeros(n_held, np.int32), np.zeros(n_held, np.int32)
+    n, before = len(seq), before_of(seq)
+    after = np.full(n, 2 * n + least)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    place, is_open = np.arange(n), rank != closed
+    every, those = distinct_counts(seq, is_open, least)
+    # of fewer shingles; a passage that can begin a place earlier without a further shingle is tried from there
+    may = (every < least) & (every - those <= (1 - MIN_SIMILARITY) * least)
+    may[1:] &= after[: len(may) - 1] - place[1 : len(may)] >= least
+    for p in np.flatnonzero(may).tolist():
+        new = p + np.flatnonzero(before[p:] < p)[:least]
+        m = np.arange(1, min(len(new), least - 1) + 1)
+        ranks = rank[new[: len(m)]]
+        held = np.cumsum(ranks != closed)
+        # passages from p with m different shingles end before the next new one
+        long = np.append(new[1:], n)[: len(m)] - p >= least
+        need = np.ceil(2 * MIN_SIMILARITY / (1 + MIN_SIMILARITY) * m - 1e-9).astype(int)
+        for k in np.flatnonzero(long & (held >= MIN_SIMILARITY * m - 1e-9)).tolist():
+            low = np.sort(ranks[: k + 1])[: held[k]]
+            few[low] = np.where(few[low] > 0, np.minimum(few[low], k + 1), k + 1)
+            low = low[: max(held[k] - need[k] + 1, 0)]
+            probe[low] = np.maximum(probe[low], k + 1)
+    firsts = np.flatnonzero(before < 0)
+    if len(firsts) < least:
+        return few, probe
+    fewest, some = least - misses_at_best(least), least - misses_at_best(least, 1 - MIN_SIMILARITY)
+    at = np.cumsum(before < 0) - (before < 0) + least
+    end = np.where(at <= len(firsts), firsts[np.minimum(at, len(firsts)) - 1] + 1, n)
+    opened = np.concatenate(([0], np.cumsum(is_open)))
+    left = np.cumsum((after > n)[::-1])[::-1]
+    tried = (left >= least) & (opened[end] - opened[:-1] >= some)
+    plain = np.flatnonzero(tried & (end - place == least))
+    can = bool(len(plain))
+    if can:
+        low = np.sort(np.lib.stride_tricks.sliding_window_view(rank, least)[plain], axis=1)
+        probe[low[np.arange(least)[None, :] < ((low != closed).sum(axis=1) - fewest + 1)[:, None]]] = least
+    for p in np.flatnonzero(tried & (end - place > least)).tolist():
+        low = np.unique(rank[p : end[p]])
+        low = low[low != closed]
+        can |= len(low) >= some
+        probe[low[: max(len(low) - fewest + 1, 0)]] = least
+    if can:
+        few[few == 0] = least
+    return few, probe
 
 
 def screened(rows: DataFrame, least: int) -> DataFrame:
-    """The stretches that can link to another component: (comp, doc, lo, seq) with their open shingles and ``need``.
-
-    Only shingles of several components are open. A passage has MIN_SIMILARITY of its shingles from the other text, so
-    some ``least`` places in a row have at least OPEN_SHARE: what is changed may lie in the middle of a longer passage.
-    It shares MIN_SIMILARITY of the shingles of ``least`` places at least. ``held`` begins with the rarest. ``probes``: of
-    two linked stretches that repeat no shingle, the passage of one is not longer than the other's and has 8 / 9 of its
-    shingles from there, so some ``least`` places of it have all but a tenth of 2 * ``least`` (misses_at_best), and the
-    rarest of these is among the rarest open ones of these places. Where shingles repeat, all are probes.
+    """The stretches that can link to another component: (comp, doc, lo, seq) with their open shingles and the roles of these.
+
+    Only shingles of several components are open, and of these only those that a passage which can link holds are
+    ``held``, the rarest first. Two linked stretches share one that is a probe of the one whose passage has fewer different
+    shingles; the other one's passage has a quarter more at most (``roles``).
     """
     each = rows.select("comp", "doc", "lo", F.explode(F.array_distinct("seq")).alias("token"))
     found = each.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     found = materialize(found.select("token", "size"), "passage-open-tokens")
     held = each.join(sized(found), "token").groupBy("doc", "lo").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("held"))
-    held = materialize(held.select("doc", "lo", F.col("held.token").alias("held")), "passage-held")
+    held = held.select("doc", "lo", F.col("held.token").alias("held"))
     full = rows.join(held, ["doc", "lo"]).select("comp", "doc", "lo", "seq", "held")
-    schema = T.StructType([*full.schema.fields, T.StructField("probes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*full.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("few", "probe"))])
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (seq_at, seqs), (held_at, tokens) = ((np.asarray(batch.column(i).offsets), np.asarray(batch.column(i).values)) for i in (3, 4))
-            keep, probes = [], []
+            keep, out = [], ([], [], [])
             for r in range(batch.num_rows):
                 seq, held = seqs[seq_at[r] : seq_at[r + 1]], tokens[held_at[r] : held_at[r + 1]]
-                order = np.argsort(held)
                 if len(seq) < least:
                     continue
+                order = np.argsort(held)
                 rank = order[np.minimum(np.searchsorted(held, seq, sorter=order), len(held) - 1)]
                 rank = np.where(held[rank] == seq, rank, np.iinfo(rank.dtype).max)
-                every, those = distinct_counts(seq, rank < len(held), least)
-                fewest = int(np.ceil(MIN_SIMILARITY * every.min() - 1e-9))
-                if len(held) >= fewest and (those >= OPEN_SHARE * every).any():
+                few, probe = roles(seq, rank, len(held), least)
+                if few.any():
                     keep.append(r)
-                    once = len(np.unique(seq)) == len(seq)
-                    probes.append(held[probes_of(rank, least - misses_at_best(least), least)] if once else held)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(probes, pa.list_(pa.int64()))], names=schema.names)
+                    for x, y in zip(out, (held, few, probe), strict=True):
+                        x.append(y[few > 0])
+            at = pa.array(keep, pa.int64())
+            cols = [pa.array(x, pa.list_(kind)) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), *cols], names=schema.names)
 
     return materialize(full.mapInArrow(screen, schema), "passage-screened")
 
 
-def misses_at_best(least: int) -> int:
-    """Shingles that some ``least`` places in a row of the shorter of two linked passages have not in common, at most.
+def misses_at_best(least: int, share: float = (1 - MIN_SIMILARITY) / (1 + MIN_SIMILARITY)) -> int:
+    """Shingles that some ``least`` places in a row of a passage lack, at most, if it lacks ``share`` of all.
 
-    Of n places a ninth differ at most (at the similarity of 0.8). They can lie in all stretches of ``least`` places only
-    where the first and the last such stretch overlap by as many, which ends at n = 2 * least / (1 + 1 / 9).
+    The shorter of two linked passages lacks a ninth (at the similarity of 0.8), either of them a fifth. They can lie in all
+    stretches of ``least`` places only where the first and the last such stretch overlap by as many, which ends at
+    n = 2 * least / (1 + share).
     """
-    share = (1 - MIN_SIMILARITY) / (1 + MIN_SIMILARITY)
     return int(np.floor(2 * least * share / (1 + share) + 1e-9))
 
 
 def token_lists(rows: DataFrame) -> DataFrame:
-    """(list, doc, comp, lo, hi, probe): the stretches of ``screened`` that hold an open shingle that is a probe of one."""
-    rows = rows.select("doc", "comp", "lo", (F.col("lo") + F.size("seq") - 1).alias("hi"), "probes", F.explode("held").alias("list"))
-    rows = rows.withColumn("probe", F.array_contains("probes", F.col("list"))).drop("probes")
+    """(list, doc, comp, lo, hi, few, probe): the stretches of ``screened`` that hold an open shingle that is a probe of one."""
+    each = F.explode(F.arrays_zip("held", "few", "probe")).alias("x")
+    rows = rows.select("doc", "comp", "lo", (F.col("lo") + F.size("seq") - 1).alias("hi"), each).select(F.col("x.held").alias("list"), "doc", "comp", "lo", "hi", "x.few", "x.probe")
     return distinct_lists(materialize(rows, "passage-lists"))
 
 
 def distinct_lists(lists: DataFrame) -> DataFrame:
     """``lists`` with their size, without those of one component or without a probe; of lists of the same stretches the first stays."""
+    row = ("doc", "lo", "hi", "few", "probe")
     per = lists.groupBy("list").agg(
-        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("doc", "lo", "hi", "probe").cast("decimal(20,0)")).alias("s0"), F.sum(F.hash("doc", "lo", "hi", "probe").cast("long")).alias("s1"), F.max("probe").alias("probe")
+        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64(*row).cast("decimal(20,0)")).alias("s0"), F.sum(F.hash(*row).cast("long")).alias("s1"), F.max("probe").alias("probe")
     )
-    kept = per.where("c0 <> c1 AND probe").groupBy("size", "s0", "s1").agg(F.min("list").alias("list"))
+    kept = per.where("c0 <> c1 AND probe > 0").groupBy("size", "s0", "s1").agg(F.min("list").alias("list"))
     return materialize(join_counted(lists, materialize(kept.select("list", "size"), "passage-kept"), "list", "size", lists.count()), "passage-meet")
 
 
@@ -454,49 +504,92 @@ def joined(rows: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.join(sized(new), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
 
 
-def list_pairs(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(list, far, a, b, a_from, a_to, spots) of documents of different components that share a list, in
-    which one of them has a probe, each pair once.
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """(list, far, a, b, a_from, a_to, spots) of documents of different components that share one of ``with_largest``'s
+    short lists, in which one of them has a probe, each pair once.
 
     Of the pair's lists the first is given, and ``far`` is the document that the list's outsider met. The places to be
     compared are a_from to a_to of a, and the spots of b, as lo * 2 ** 32 + hi.
+    """
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "comp", "lo", "hi", "few", "probe")]
+    outsiders = lists.where(F.col("comp") != F.col("top")).select("list", *side("x"))
+    # the passage of more different shingles has a quarter more at most
+    meets = F.greatest(F.col("x_probe") - F.col("y_few") * MIN_SIMILARITY, F.col("y_probe") - F.col("x_few") * MIN_SIMILARITY) >= -1e-9
+    met = outsiders.join(lists.select("list", *side("y")), "list").where((F.col("x_doc") != F.col("y_doc")) & (F.col("x_comp") != F.col("y_comp")) & meets)
+    return _each_once(met.select(*_pair_columns("y_doc")), "passage-more-pairs")
+
 
-    Where few documents are outside a list's largest component, they are joined with the list. Other lists are cut into
-    blocks by hash, of which the outsiders' meet each other and the largest component's. Two blocks are a group of their
-    own, which gives only the pairs with shingles enough in common.
+def block_hits(lists: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Passages of the documents of different components that share one of ``with_largest``'s long lists.
+
+    Lists are cut into blocks by hash, of which the outsiders' meet each other and the largest component's. Two blocks are a
+    group of their own, which compares its pairs at once, so none is written. A pair of two lists is compared in the one of
+    the smaller shingle, and components that a passage of the group joins are compared no more.
     """
-    lists = with_largest(lists.drop("size"))
-    wide = F.col("outside") > SHORT_LIST
-    near = lists.where(~wide)
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("doc", "comp", "lo", "hi", "probe")]
-    outsiders = near.where(F.col("comp") != F.col("top")).select("list", *side("x"))
-    met = outsiders.join(near.select("list", *side("y")), "list").where((F.col("x_doc") != F.col("y_doc")) & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_probe") | F.col("y_probe")))
-    pairs = met.select(*_pair_columns("y_doc"))
-    long = lists.where(wide)
-    if long.limit(1).count():
-        seqs = sequences(only(docs, long.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
-        outsider = F.col("comp") != F.col("top")
-        block = F.when(outsider, F.pmod(F.hash("doc"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.hash("doc"), F.col("inner")))
-        others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
-        tiles = long.withColumn("mine", block).withColumn("other", F.explode(others))
-        tiles = tiles.select("list", "doc", "comp", "lo", "hi", "probe", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(seqs, "doc")
-        tiles = tiles.withColumn("seq", F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1))
-        kind = docs.schema["key"].dataType
-        schema = T.StructType([T.StructField("list", T.LongType()), T.StructField("far", kind), T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.IntegerType()) for c in ("a_lo", "a_hi", "lo", "hi"))])
-
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
-            i, j = tile_pairs(group["comp"].to_numpy(), [np.asarray(s, np.int32) for s in group["seq"]], cross, least)
-            doc, probe = group["doc"].to_numpy(), group["probe"].to_numpy(bool)
-            i, j = i[probe[i] | probe[j]], j[probe[i] | probe[j]]
-            i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
-            lo, hi = group["lo"].to_numpy(), group["hi"].to_numpy()
-            # the pairs of a tile stay together
-            tile = int(group["list"].iat[0]) ^ (int(group["x"].iat[0]) << 32 | int(group["y"].iat[0]))
-            return pd.DataFrame({"list": np.full(len(i), tile, np.int64), "far": doc[j], "a": doc[i], "b": doc[j], "a_lo": lo[i], "a_hi": hi[i], "lo": lo[j], "hi": hi[j]})
-
-        pairs = pairs.unionAll(tiles.groupBy("list", "x", "y").applyInPandas(compare, schema))
-    return _each_once(pairs, "passage-more-pairs")
+    short = lambda c: F.shiftright(c, 32).cast("int")
+    probes = lists.where(F.col("probe") == least).groupBy("doc", "lo").agg(F.collect_set(short("list")).alias("probes"))
+    seqs = sequences(only(docs, lists.select(F.col("doc").alias("key")))).dropDuplicates(["key"]).withColumnRenamed("key", "doc")
+    ends = lists.select("doc", "lo", "hi").distinct().join(seqs, "doc").join(probes, ["doc", "lo"], "left")
+    cut = F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("seq")
+    ends = materialize(ends.select("doc", "lo", cut, F.coalesce("probes", F.array().cast("array<int>")).alias("probes")), "passage-long")
+    outsider = F.col("comp") != F.col("top")
+    block = F.when(outsider, F.pmod(F.hash("doc"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.hash("doc"), F.col("inner")))
+    others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)
+    tiles = lists.withColumn("mine", block).withColumn("other", F.explode(others))
+    tiles = tiles.select("list", "doc", "comp", "lo", "few", "probe", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).join(ends, ["doc", "lo"])
+    schema = _hit_schema(docs.schema["key"].dataType)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc", "lo"])
+        cross = group["mine"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
+        doc, comp, lo, few, probe = (group[c].to_numpy() for c in ("doc", "comp", "lo", "few", "probe"))
+        seqs = [np.asarray(s, np.int32) for s in group["seq"]]
+        i, j = tile_pairs(comp, seqs, cross, least)
+        ok = (doc[i] != doc[j]) & (np.maximum(probe[i] - few[j] * MIN_SIMILARITY, probe[j] - few[i] * MIN_SIMILARITY) >= -1e-9)
+        i, j = i[ok], j[ok]
+        values, codes = np.unique(np.concatenate(seqs), return_inverse=True)
+        codes = np.split(codes, np.cumsum([len(x) for x in seqs])[:-1])
+        if len(i):
+            ok = ~settled_before(values, codes, group["probes"].tolist(), few >= least, int(group["list"].iat[0]) >> 32)[i, j]
+            i, j = i[ok], j[ok]
+        out, root = [], {}
+
+        def find(c: object) -> object:
+            while c in root:
+                c = root[c]
+            return c
+
+        for n in np.flatnonzero(pairs_may_match(codes, i, j, least)):
+            a, b = i[n], j[n]
+            x, y = find(comp[a]), find(comp[b])
+            found = matches(codes[a], codes[b], least, "table") if x != y else []
+            out += [(doc[b], doc[a], lo[b] + s, lo[b] + e + 5, lo[a] + ms, lo[a] + me + 5, similar) for s, e, ms, me, similar in found]
+            if found:
+                root[max(x, y)] = min(x, y)
+        return pd.DataFrame({f.name: pd.Series([x[k] for x in out], dtype=None if k < 2 and out else [object, np.int32, float][(k > 1) + (k > 5)]) for k, f in enumerate(schema)})
+
+    return tiles.groupBy("list", "x", "y").applyInPandas(compare, schema).distinct()
+
+
+def settled_before(values: np.ndarray, codes: list[np.ndarray], probes: list, whole: np.ndarray, this: int) -> np.ndarray:
+    """Whether each two stretches also share the list of a smaller shingle than ``this`` as a probe of one of them.
+
+    ``codes`` are the stretches as places in ``values``. The one beside the probe must be ``whole``: all its open shingles
+    have lists.
+    """
+    n, sizes = len(codes), np.array([len(p) for p in probes])
+    each = np.concatenate([np.zeros(0, np.int32), *probes]).astype(np.int32)
+    rows, each = np.repeat(np.arange(n), sizes)[each < this], each[each < this]
+    low, col = np.unique(each, return_inverse=True)
+    mine, theirs = np.zeros((n, len(low)), np.float32), np.zeros((n, len(low)), np.float32)
+    mine[rows, col] = 1
+    at = np.full(len(values), -1)
+    at[np.searchsorted(values, low)] = np.arange(len(low))
+    for k in np.flatnonzero(whole).tolist():
+        here = at[codes[k]]
+        theirs[k, here[here >= 0]] = 1
+    both = mine @ theirs.T > 0
+    return both | both.T
 
 
 def tile_hits(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -643,7 +736,11 @@ def near_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         rows = screened(joined(rows, more).select("comp", "doc", "lo", "seq"), least)
         lists = token_lists(rows)
     if lists.limit(1).count():
-        hits = hits.unionAll(materialize(tile_hits(list_pairs(lists, docs, least), docs, least), "passage-more-hits")).distinct()
+        lists = with_largest(lists.drop("size"))
+        long = F.col("outside") * F.col("size") > SHORT_LIST
+        if lists.where(long).limit(1).count():
+            hits = hits.unionAll(materialize(block_hits(lists.where(long), docs, least), "passage-long-hits"))
+        hits = hits.unionAll(materialize(tile_hits(list_pairs(lists.where(~long)), docs, least), "passage-more-hits")).distinct()
     sizes = sequences(only(docs, copies.select(F.col("rep").alias("key")))).select(F.col("key").alias("rep"), F.size("seq").alias("n")).where(F.col("n") >= least).dropDuplicates(["rep"])
     size, zero = (F.col("n") + 4).cast("int"), F.lit(0).cast("int")
     whole = copies.join(sizes, "rep").select("key", F.col("rep").alias("match"), zero.alias("start"), size.alias("end"), zero.alias("match_start"), size.alias("match_end"), F.lit(1.0).alias("similarity"))

@@ -107,3 +107,79 @@ def test_the_screen_of_pairs_loses_no_link():
             links += found
             assert kept or not found
     assert links > 50
+
+
+def test_linked_stretches_share_a_probe():
+    """Also where shingles repeat: near copies of lines, runs and prose, all pairs by ``matches``."""
+    rng = np.random.default_rng(3)
+    links = repeats = 0
+    for _ in range(150):
+        lines = [rng.integers(0, 200, rng.integers(1, 40)) for _ in range(4)]
+        base = np.resize(np.concatenate([lines[k] for k in rng.integers(0, 4, 12)]), 140) if rng.random() < 0.7 else np.arange(120)
+        seqs = []
+        for _ in range(5):
+            s = base[: rng.integers(46, 141)].copy()
+            changed = rng.random(len(s)) < rng.choice([0.01, 0.05, 0.1])
+            s[changed] = 1000 + rng.integers(0, 10**6, changed.sum())
+            seqs.append(np.concatenate([2000000 + rng.integers(0, 10**6, 9), s]))
+        values, size = np.unique(np.concatenate([np.unique(s) for s in seqs]), return_counts=True)
+        found = []
+        for s in seqs:
+            held = np.unique(s)
+            held = held[size[np.searchsorted(values, held)] > 1]
+            held = held[np.argsort(size[np.searchsorted(values, held)], kind="stable")]
+            order = np.argsort(held)
+            rank = order[np.minimum(np.searchsorted(held, s, sorter=order), len(held) - 1)] if len(held) else np.zeros(len(s), int)
+            rank = np.where(held[rank] == s, rank, np.iinfo(np.int64).max) if len(held) else rank + np.iinfo(np.int64).max
+            few, probe = passages.roles(s, rank, len(held), 46)
+            found.append({h: (f, p) for h, f, p in zip(held.tolist(), few.tolist(), probe.tolist(), strict=True) if f})
+        for i in range(5):
+            for j in range(5):
+                if i != j and passages.matches(seqs[i], seqs[j]):
+                    links += 1
+                    repeats += len(np.unique(seqs[i])) < len(seqs[i])
+                    a, b = found[i], found[j]
+                    assert any(max(a[h][1] - 0.8 * b[h][0], b[h][1] - 0.8 * a[h][0]) >= -1e-9 for h in a.keys() & b.keys())
+    assert links > 300 and repeats > 100
+
+
+def test_documents_that_share_a_repeated_line_among_their_own_are_not_compared(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("pairs were listed")
+
+    for name in ("list_pairs", "block_hits"):
+        monkeypatch.setattr(passages, name, never, raising=False)
+    rng = random.Random(8)
+    line = " ".join(f"l{i}" for i in range(14))
+    rows = []
+    for k in range(12):
+        own = " ".join(f"o{rng.randrange(10**9)}" for _ in range(2))
+        rows.append((k, " ".join([line, own] * 6)))
+    assert passages.near_passages(spark.createDataFrame(rows, DOCS)).count() == 0
+
+
+def test_near_copies_that_do_not_link_are_not_written_as_pairs(spark, monkeypatch):
+    """Of a group of n copies with many changed words, rows grow with n, not with its square; classes are brute force's."""
+    monkeypatch.setattr(passages, "SHORT_LIST", 8)
+    monkeypatch.setattr(passages, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(80):
+        w = list(base)
+        for i in rng.sample(range(120), 3 if k % 4 == 0 else 8):
+            w[i] = f"c{k}x{i}"
+        rows.append((k, " ".join(w)))
+    comp, _ = brute_classes(rows)
+    assert 10 < len(set(comp.values())) < 80
+    written, plain = {}, passages.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    out = passages.near_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {i: i for i, _ in rows} | {r.key: r.class_id for r in out} | {r.match: r.class_id for r in out} == comp
+    assert written.get("passage-more-pairs", 0) < 4 * len(rows)
